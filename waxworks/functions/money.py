@@ -43,10 +43,8 @@ def suggested_price(text: Column, condition: Column) -> Column:
         .when(text.contains(", "), F.split_part(text, F.lit(", "), F.lit(1)).try_cast("double"))
         .otherwise(text.try_cast("double"))
     )
-    factor = F.lit(1.0)
-    for grade, value in GRADE_FACTORS.items():
-        factor = F.when(condition == grade, F.lit(value)).otherwise(factor)
-    return base * factor
+    factors = F.create_map(*[F.lit(x) for pair in GRADE_FACTORS.items() for x in pair])
+    return base * F.coalesce(F.try_element_at(factors, condition), F.lit(1.0))
 
 
 def to_usd(amount: Column, rate: Column) -> Column:

@@ -69,19 +69,19 @@ def grade_index(condition: Column, strict: bool = False) -> Column:
     ``Good``. With ``strict`` the longest grade that occurs wins.
     """
     text = F.replace(F.replace(F.trim(condition), F.lit("("), F.lit("")), F.lit(")"), F.lit(""))
-    full = text
-    for short, name in GRADE_SHORT.items():
-        full = F.when(text == short, F.lit(name)).otherwise(full)
-    lowered = F.lower(full)
+    short = F.create_map(*[F.lit(x) for pair in GRADE_SHORT.items() for x in pair])
+    full = F.lower(F.coalesce(F.try_element_at(short, text), text))
     order = sorted(GRADES, key=len, reverse=True) if strict else GRADES
-    found = F.lit(0)
-    for name in reversed(order):
-        found = F.when(lowered.contains(name.lower()), F.lit(GRADES.index(name) + 1)).otherwise(found)
-    return F.when(condition.isNull(), F.lit(0)).otherwise(found)
+    names = F.array(*[F.lit(g.lower()) for g in order])
+    found = F.array_position(F.transform(names, lambda g: F.contains(full, g)), True)
+    if strict:
+        places = F.array(*[F.lit(GRADES.index(g) + 1) for g in order])
+        found = F.get(places, (found - 1).cast("int"))
+    return F.coalesce(found, F.lit(0)).cast("int")
 
 
-def grade_one_hot(condition: Column, strict: bool = False) -> list[Column]:
-    place = grade_index(condition, strict)
+def grade_one_hot(place: Column) -> list[Column]:
+    """Eight 0/1 columns from a place given by :func:`grade_index`."""
     return [(place == i + 1).cast("double") for i in range(len(GRADES))]
 
 

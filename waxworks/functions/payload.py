@@ -20,16 +20,20 @@ ASPECTS = {
 }
 
 
+def _holds(names: tuple[str, ...], non_empty: bool):
+    def test(entry: Column) -> Column:
+        named = entry["name"].isin(*names)
+        return named & (F.coalesce(entry["value"], F.lit("")) != "") if non_empty else named
+
+    return test
+
+
 def aspect_columns(aspects: Column) -> dict[str, Column]:
     """Nine flat columns from a list of (name, value) structs; absent ones are empty."""
     out = {}
     for column, names in ASPECTS.items():
         shared = len(names) > 1
-        hits = F.filter(
-            aspects,
-            lambda a, names=names, shared=shared: a["name"].isin(*names)
-            & (F.coalesce(a["value"], F.lit("")) != "" if shared else F.lit(True)),
-        )
+        hits = F.filter(aspects, _holds(names, non_empty=shared))
         pick = F.try_element_at(hits, F.lit(1 if shared else -1))
         out[column] = F.coalesce(pick["value"], F.lit(""))
     return out
