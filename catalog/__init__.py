@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("thresholds", "scalars")
+MODULES = ("thresholds", "scalars", "relational")
 
 
 def load():

@@ -72,12 +72,15 @@ def grade_index(condition: Column, strict: bool = False) -> Column:
     short = F.create_map(*[F.lit(x) for pair in GRADE_SHORT.items() for x in pair])
     full = F.lower(F.coalesce(F.try_element_at(short, text), text))
     order = sorted(GRADES, key=len, reverse=True) if strict else GRADES
-    names = F.array(*[F.lit(g.lower()) for g in order])
-    found = F.array_position(F.transform(names, lambda g: F.contains(full, g)), True)
-    if strict:
-        places = F.array(*[F.lit(GRADES.index(g) + 1) for g in order])
-        found = F.get(places, (found - 1).cast("int"))
-    return F.coalesce(found, F.lit(0)).cast("int")
+
+    def first_named(name_text: Column) -> Column:
+        found = F.when(name_text.isNull(), 0)
+        for name in order:
+            found = found.when(F.contains(name_text, F.lit(name.lower())), GRADES.index(name) + 1)
+        return found.otherwise(0)
+
+    # Through a one-element list the cleaned text is computed once and not once per branch.
+    return F.get(F.transform(F.array(full), first_named), F.lit(0))
 
 
 def grade_one_hot(place: Column) -> list[Column]:

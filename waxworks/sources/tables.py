@@ -85,9 +85,7 @@ class Catalogue:
 
     @cached_property
     def sellers(self) -> DataFrame:
-        currency = F.lit(list(RATES)[-1])
-        for i, code in enumerate(list(RATES)[:-1]):
-            currency = F.when(F.col("s_nationkey") % 6 == i, F.lit(code)).otherwise(currency)
+        currency = F.get(F.array(*[F.lit(code) for code in RATES]), F.col("s_nationkey") % 6)
         return self.table("supplier").select(
             F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), currency.alias("currency")
         )
@@ -95,9 +93,8 @@ class Catalogue:
     @cached_property
     def listings(self) -> DataFrame:
         flags = F.concat("l_returnflag", "l_linestatus")
-        condition = F.lit(None).cast("string")
-        for pair, grade in CONDITIONS.items():
-            condition = F.when(flags == pair, F.lit(grade)).otherwise(condition)
+        names = F.create_map(*[F.lit(x) for item in CONDITIONS.items() for x in item])
+        condition = F.try_element_at(names, flags)
         price = F.round(F.col("l_extendedprice") / F.col("l_quantity") / 100, 2).cast("string")
         sellers = self.sellers.select(F.col("id").alias("seller_id"), "currency")
         lines = self.table("lineitem").withColumn("seller_id", F.col("l_suppkey"))
@@ -132,6 +129,12 @@ class Catalogue:
         placed = row_index(self.feedback, F.col("ts"), F.col("instance_id"))
         return placed.withColumn("batch_number", F.floor(F.col("row_idx") / BATCH_SIZE).cast("bigint"))
 
+    @cached_property
+    def batch_performance(self) -> DataFrame:
+        from waxworks.operators.metrics import batch_performance
+
+        return batch_performance(self.feedback_batches)
+
     @cached_property
     def auctions(self) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("int")
