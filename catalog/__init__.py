@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("thresholds", "scalars", "relational")
+MODULES = ("thresholds", "scalars", "relational", "files", "aggregates", "composites", "streams")
 
 
 def load():

@@ -61,3 +61,8 @@ def display_price(text: Column) -> Column:
     number = F.regexp_replace(text, r"[^0-9.]", "").try_cast("double")
     shown = F.format_string("$%.2f", number)
     return F.when(number.isNull(), F.lit("—")).otherwise(shown)
+
+
+def price_edge(listed: Column, usd: Column) -> Column:
+    """How far a listing is below the catalogue price; 0 when above it or when that is unknown."""
+    return F.greatest(F.lit(0.0), F.coalesce(listed, F.lit(0.0)) - usd)

@@ -135,12 +135,12 @@ def mine_batch_triplets(
 ) -> DataFrame:
     """Triplets for the keepers of a labelled batch, against the labelled history.
 
-    ``batch`` has label (bool) besides the profile columns. The first part of each keeper's triplets
+    ``batch`` has kept (bool) besides the profile columns. The first part of each keeper's triplets
     gets a hard negative. No rows when the batch has no keeper or a side of the history is short.
     """
     sizes = _count(keepers, "_k").crossJoin(_count(others, "_n"))
     enough = (F.col("_k") >= MIN_HISTORY) & (F.col("_n") >= MIN_HISTORY)
-    anchors = batch.filter("label").select(F.col("id").alias("anchor"), F.struct(*PROFILE).alias("_p"))
+    anchors = batch.filter("kept").select(F.col("id").alias("anchor"), F.struct(*PROFILE).alias("_p"))
     slots = (
         anchors.crossJoin(sizes.filter(enough))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(per_keeper - 1))))
