@@ -246,16 +246,18 @@ def compare_models(features: DataFrame, label: str, *order, configurations=CONFI
 
     base = split_by_position(features, *order, cuts=(0.6, 0.8), names=("train", "val", "test"))
     base = base.withColumns({"y": F.col(label).cast("double"), "is_val": F.col("split") == "val"}).persist()
-    results = None
-    for setting in configurations:
-        rows = design(base, setting["buckets"])
-        model = fit_keeper_model(
-            rows.filter("split <> 'test'"), setting["l2"], rounds, setting["buckets"], setting["max_weight"]
-        )
-        test = rows.filter("split = 'test'").select("x", "y")
-        scored = score(test, model).select(
-            F.col("mean").alias("predicted_prob"), "uncertainty", (F.col("y") > 0).alias("actual")
-        )
-        row = evaluate(scored).select(F.lit(setting["name"]).alias("name"), "*")
-        results = row if results is None else results.unionByName(row)
-    return results.orderBy(F.col("f1").desc(), "name")
+    results = []
+    try:
+        for setting in configurations:
+            rows = design(base, setting["buckets"])
+            fitted = fit_keeper_model(
+                rows.filter("split <> 'test'"), setting["l2"], rounds, setting["buckets"], setting["max_weight"]
+            )
+            scored = score(rows.filter("split = 'test'").select("x", "y"), fitted).select(
+                F.col("mean").alias("predicted_prob"), "uncertainty", (F.col("y") > 0).alias("actual")
+            )
+            results.append((setting["name"], *evaluate(scored).first()))  # one row per configuration
+    finally:
+        base.unpersist()
+    schema = "name string, accuracy double, precision double, recall double, f1 double, mean_uncertainty double"
+    return features.sparkSession.createDataFrame(results, schema).orderBy(F.col("f1").desc(), "name")
