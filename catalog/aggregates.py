@@ -141,7 +141,7 @@ def a9(c):
     (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY term""",
 )
 def a10(c):
-    docs = c.table("documents").select("doc_id", F.explode(text.title_tokens(F.col("text"))).alias("term"))
+    docs = c.documents.select("doc_id", F.explode(text.title_tokens(F.col("text"))).alias("term"))
     # tokens of a document are distinct, so both counts are the row count
     return docs.groupBy("term").agg(F.count("*").alias("df"), F.count("*").alias("tf"))
 

@@ -107,7 +107,7 @@ _MOCKS = f"SELECT id, {tokens_sql(mock_sql())} AS tokens FROM records WHERE eval
 def _keeper_mocks(c):
     title = text.raw_title(*[F.col(x) for x in ("artist", "title", "label", "year")])
     kept = c.records.filter(F.col("evaluated") & F.col("wanted"))
-    return kept.select("id", text.title_tokens(title).alias("tokens")).filter(F.size("tokens") > 0)
+    return kept.select("id", tfidf.usable(text.title_words(title)).alias("tokens"))
 
 
 @query(
@@ -145,8 +145,9 @@ def f24(c):
     ),
 )
 def t5(c):
-    docs = c.keeper_titles.select(F.col("doc_id").alias("id"), text.title_tokens(F.col("title")).alias("tokens"))
-    return rounded(tfidf.distinctive_terms(tfidf.fit_tfidf(docs.filter(F.size("tokens") > 0), 10_000)), "idf")
+    words = tfidf.usable(text.title_words(F.col("title")))
+    docs = c.keeper_titles.select(F.col("doc_id").alias("id"), words.alias("tokens"))
+    return rounded(tfidf.distinctive_terms(tfidf.fit_tfidf(docs, 10_000)), "idf")
 
 
 @cache
@@ -342,16 +343,12 @@ def _budgets(c, amount=500.0):
 
 @query("m9_knapsack_by_seller")
 def m9(c):
-    scored = _scored(c)
-    bought = knapsack.knapsack_by_seller(scored, _budgets(c))
-    return scored.join(bought.filter("error is null").select("listing_id"), "listing_id", "left_semi")
+    return knapsack.knapsack_by_seller(_scored(c), _budgets(c))
 
 
 @query("m9_knapsack_totals")
 def m9_totals(c):
-    scored = _scored(c)
-    bought = knapsack.knapsack_by_seller(scored, _budgets(c)).filter("error is null")
-    chosen = scored.join(bought.select("listing_id"), "listing_id")
+    chosen = knapsack.knapsack_by_seller(_scored(c), _budgets(c)).filter("error is null")
     return rounded(stock.selected_totals(chosen, "price"), "total_cost", "total_score")
 
 

@@ -62,7 +62,7 @@ def _pages(c):
     )
     spread = c.auctions.withColumn("page", F.floor(event / 200))
     repeated = spread.filter(event % 200 == 199).withColumn("page", F.col("page") + 1)
-    pages = spread.unionByName(repeated).groupBy("page").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    pages = spread.unionByName(repeated).groupBy("page").agg(F.sort_array(F.collect_list(item)).alias("items"))
     total = c.auctions.agg(F.count("*").alias("total"))
     return pages.crossJoin(total).select(
         F.to_json(

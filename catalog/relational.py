@@ -263,7 +263,7 @@ def j5(c):
 def j6(c):
     # a batch is twenty rows, so each list is short
     item = F.struct("row_idx", "instance_id", "actual", "predicted_prob")
-    packed = c.feedback_batches.groupBy("batch_number").agg(F.array_sort(F.collect_list(item)).alias("b"))
+    packed = c.feedback_batches.groupBy("batch_number").agg(F.sort_array(F.collect_list(item)).alias("b"))
     lists = packed.select(
         "batch_number", F.col("b.instance_id").alias("records"), F.col("b.actual").alias("labels"),
         F.col("b.predicted_prob").alias("predictions"),
@@ -324,7 +324,7 @@ def _explore_exploit(c):
 
     def numbered(order, n, start):
         top = rows_.withColumn("o", order).orderBy(F.col("o").desc(), "id").limit(n)
-        packed = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("o")).alias("k"), "id"))).alias("a"))
+        packed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("o")).alias("k"), "id"))).alias("a"))
         return packed.select(F.posexplode("a").alias("place", "e")).select("e.id", (F.col("place") + start).alias("place"))
 
     score = optimistic(F.col("predicted_prob"), F.col("uncertainty"))

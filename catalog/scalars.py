@@ -13,7 +13,7 @@ from waxworks.operators.features import CONDITION_COLUMNS
 
 @query("f1_normalize_title", f"SELECT doc_id, {title_sql('text')} AS title FROM documents")
 def f1(c):
-    return c.table("documents").select("doc_id", text.normalize_title(F.col("text")).alias("title"))
+    return c.documents.select("doc_id", text.normalize_title(F.col("text")).alias("title"))
 
 
 @query("f2_mock_title", with_views("records", f"SELECT id, {mock_sql()} AS title FROM records"))

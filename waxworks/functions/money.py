@@ -23,24 +23,28 @@ def parse_price(text: Column) -> Column:
     return F.coalesce(number.try_cast("double"), F.lit(0.0))
 
 
+def _two_parts(text: Column) -> Column:
+    first, last = F.substring_index(text, ", ", 1), F.substring_index(text, ", ", -1)
+    return F.length(first) + F.length(last) + 2 == F.length(text)
+
+
 def price_amount(text: Column) -> Column:
     """Amount of a ``"<num>, <CCY>"`` text; null unless it has exactly these two parts."""
-    parts = F.split(text, ", ")
-    return F.when(F.size(parts) == 2, F.get(parts, F.lit(0)).try_cast("double"))
+    first = F.substring_index(text, ", ", 1)
+    return F.when(_two_parts(text), first.try_cast("double"))
 
 
 def price_currency(text: Column) -> Column:
     """Currency of a ``"<num>, <CCY>"`` text; null unless it has exactly these two parts."""
-    parts = F.split(text, ", ")
-    return F.when(F.size(parts) == 2, F.get(parts, F.lit(1)))
+    return F.when(_two_parts(text), F.substring_index(text, ", ", -1))
 
 
 def suggested_price(text: Column, condition: Column) -> Column:
     """Catalogue price for a grade, from any of the three text forms; null when unreadable."""
-    tagged = F.nullif(F.regexp_extract(text, r"<Price ([0-9.]+)", 1), F.lit(""))
+    tagged = F.regexp_extract(text, r"<Price ([0-9.]+)", 1)
     base = (
         F.when(text.contains("<Price"), tagged.try_cast("double"))
-        .when(text.contains(", "), F.split_part(text, F.lit(", "), F.lit(1)).try_cast("double"))
+        .when(text.contains(", "), F.substring_index(text, ", ", 1).try_cast("double"))
         .otherwise(text.try_cast("double"))
     )
     factors = F.create_map(*[F.lit(x) for pair in GRADE_FACTORS.items() for x in pair])

@@ -39,12 +39,20 @@ def aspect_columns(aspects: Column) -> dict[str, Column]:
     return out
 
 
+_QUOTED = r'"(?:[^"\\]|\\.)*"'
+
+
 def string_list(text: Column) -> Column:
-    """A JSON list of strings; a bare JSON string becomes a list of one, junk an empty list."""
-    as_list = F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>"))
-    quoted = F.trim(text).rlike(r'^"(?:[^"\\]|\\.)*"$')
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
-    return F.coalesce(as_list, F.when(quoted, wrapped), F.array().cast("array<string>"))
+    """A JSON list of strings; a bare JSON string becomes a list of one, anything else an empty list.
+
+    A list with other elements than strings counts as junk; a null in it is an empty string.
+    """
+    element = rf"(?:{_QUOTED}|null)"
+    is_list = text.rlike(rf"^\s*\[\s*(?:{element}(?:\s*,\s*{element})*\s*)?\]\s*$")
+    is_string = text.rlike(rf"^\s*{_QUOTED}\s*$")
+    json = F.when(is_list, text).when(is_string, F.concat(F.lit("["), text, F.lit("]")))
+    parsed = F.transform(F.from_json(json, "array<string>"), lambda e: F.coalesce(e, F.lit("")))
+    return F.coalesce(parsed, F.array().cast("array<string>"))
 
 
 def primitive(value: Column, kind: str) -> Column:

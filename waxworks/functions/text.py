@@ -18,11 +18,16 @@ STOP_WORDS = (
 )
 
 
-def title_tokens(text: Column) -> Column:
-    """Distinct lower-case words of a title, sorted, without stop words and single letters."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+")
+def title_words(text: Column) -> Column:
+    """Distinct lower-case words of a title, in order of appearance, without stop words and single letters."""
+    words = F.split(F.lower(text), r"[^a-z0-9]+")
     stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.array_sort(F.filter(F.array_except(words, stops), lambda w: F.length(w) > 1))
+    return F.filter(F.array_except(words, stops), lambda w: F.length(w) > 1)
+
+
+def title_tokens(text: Column) -> Column:
+    """The words of :func:`title_words`, sorted."""
+    return F.sort_array(title_words(text))
 
 
 def normalize_title(text: Column) -> Column:

@@ -64,7 +64,7 @@ def select_batch(df: DataFrame, batch_number: int, size: int = 20, random_count:
 
     def ranked(top: DataFrame, *order: Column) -> DataFrame:
         # at most ``size`` rows: numbering them needs no partitioning
-        packed = top.agg(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))).alias("a"))
+        packed = top.agg(F.sort_array(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))).alias("a"))
         return packed.select(F.posexplode("a").alias("place", "o")).select("place", F.col(f"o.o{len(order) - 1}").alias("id"))
 
     unsure = ids.orderBy(F.col("uncertainty").desc(), key).limit(n_explore)

@@ -108,6 +108,16 @@ def best_subset(values: np.ndarray, weights: np.ndarray, capacity: int) -> np.nd
     return mask
 
 
+def _solve_seller(pdf: pd.DataFrame) -> pd.DataFrame:
+    try:
+        pdf = pdf.sort_values("listing_id")
+        mask = best_subset(pdf["value"].to_numpy(), pdf["cents"].to_numpy(), int(pdf["capacity"].iloc[0]))
+        return pdf.loc[mask, ["seller_id", "listing_id", "price", "score"]].assign(error=None)
+    except Exception as err:  # one seller must not fail the job
+        failed = {"seller_id": pdf["seller_id"].iloc[:1], "listing_id": None, "price": None, "score": None}
+        return pd.DataFrame({**failed, "error": str(err)})
+
+
 def prune(items: DataFrame) -> DataFrame:
     """Items that an optimum may need: (seller_id, listing_id, value, cents, capacity).
 
@@ -129,7 +139,7 @@ def prune(items: DataFrame) -> DataFrame:
 
 
 def knapsack_by_seller(scored: DataFrame, budgets: DataFrame) -> DataFrame:
-    """What to buy from each seller: (seller_id, listing_id, error).
+    """What to buy from each seller: (seller_id, listing_id, price, score, error).
 
     ``scored`` is (seller_id, listing_id, price in USD, score); ``budgets`` is (seller_id, budget).
     Items that cost nothing are taken as they are. A seller that fails gives one row with the error,
@@ -138,22 +148,13 @@ def knapsack_by_seller(scored: DataFrame, budgets: DataFrame) -> DataFrame:
     seller_type = scored.schema["seller_id"].dataType.simpleString()
     listing_type = scored.schema["listing_id"].dataType.simpleString()
     items = scored.join(budgets, "seller_id").select(
-        "seller_id", "listing_id",
+        "seller_id", "listing_id", "price", "score",
         to_units(F.col("score"), VALUE_UNITS).alias("value"),
         to_units(F.col("price"), MONEY_UNITS).alias("cents"),
         to_units(F.col("budget"), MONEY_UNITS).alias("capacity"),
     )
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            pdf = pdf.sort_values("listing_id")
-            mask = best_subset(pdf["value"].to_numpy(), pdf["cents"].to_numpy(), int(pdf["capacity"].iloc[0]))
-            out = pdf.loc[mask, ["seller_id", "listing_id"]]
-            return out.assign(error=None)
-        except Exception as err:  # one seller must not fail the job
-            return pd.DataFrame({"seller_id": pdf["seller_id"].iloc[:1], "listing_id": None, "error": str(err)})
-
-    schema = f"seller_id {seller_type}, listing_id {listing_type}, error string"
-    bought = prune(items).groupBy("seller_id").applyInPandas(solve, schema)
+    schema = f"seller_id {seller_type}, listing_id {listing_type}, price double, score double, error string"
+    bought = prune(items).groupBy("seller_id").applyInPandas(_solve_seller, schema)
     free = items.filter((F.col("cents") == 0) & (F.col("value") > 0) & (F.col("capacity") >= 0))
-    return bought.unionByName(free.select("seller_id", "listing_id", F.lit(None).cast("string").alias("error")))
+    return bought.unionByName(free.select("seller_id", "listing_id", "price", "score", F.lit(None).cast("string").alias("error")))

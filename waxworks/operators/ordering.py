@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waxworks.functions.seeded import seeded_key
+from waxworks.operators.joins import join_checked
 from waxworks.session import stable
 
 _LOW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in these bits
@@ -40,7 +41,7 @@ def group_rank(df: DataFrame, by: list[str], *order: Column, name: str = "rank")
     """
     placed = row_index(df, *[F.col(c) for c in by], *order, name="_pos")
     firsts = placed.groupBy(*by).agg(F.min("_pos").alias("_first"))
-    return placed.join(firsts, by).select(
+    return join_checked(placed, firsts, by).select(
         *df.columns, (F.col("_pos") - F.col("_first") + 1).alias(name)
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waxworks.functions.money import suggested_price
 from waxworks.functions.numeric import demand
+from waxworks.operators.joins import join_checked
 from waxworks.operators.ordering import top_k_per_group
 from waxworks.operators.rows import allowed_conditions, with_usd
 
@@ -32,7 +33,7 @@ def score_listings(listings: DataFrame, records: DataFrame, rates: DataFrame, we
 
     ``listings`` is (listing_id, seller_id, record_id, record_price, media_condition); ``records`` is
     (record_id, wants, haves, suggested_price, model_score). Only good grades count. Demand and price
-    edge are measured against the seller's best.
+    edge are measured against the seller's best. Two scans, and the listings are never shuffled.
     """
     priced = with_usd(allowed_conditions(listings), rates).filter(F.col("usd").isNotNull())
     wide = priced.join(records, "record_id")
@@ -43,7 +44,7 @@ def score_listings(listings: DataFrame, records: DataFrame, rates: DataFrame, we
             "edge": F.greatest(F.lit(0.0), listed - F.col("usd")),
         }
     )
-    joined = measured.join(seller_maxima(measured), "seller_id")
+    joined = join_checked(measured, seller_maxima(measured), ["seller_id"])
     score = (
         F.lit(weights["embedding"]) * F.col("model_score")
         + F.lit(weights["price_diff"]) * F.col("edge") / F.col("max_edge")

@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_TERMS = 200_000
+MARKER = ""  # no token is empty, so this stands for the document itself
+
+
+def usable(tokens: Column) -> Column:
+    """The tokens, or null when there are none; the expression is evaluated once."""
+    return F.get(F.transform(F.array(tokens), lambda t: F.when(F.size(t) > 0, t)), F.lit(0))
+
+
+def entries(docs: DataFrame) -> DataFrame:
+    """(id, term) for every token of (id, tokens), and one marker row per document.
+
+    Documents without tokens (null) have no row. The marker carries the number of documents through
+    the same pass, and exploding an expression keeps Spark from adding a filter that would compute
+    the tokens a second time.
+    """
+    return docs.select("id", F.explode(F.concat(F.array(F.lit(MARKER)), F.col("tokens"))).alias("term"))
 
 
 def _counts(docs: DataFrame) -> DataFrame:
     """(id, term, tf). Equal words of a document are added up before they are shuffled."""
-    return docs.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return entries(docs).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def fit_tfidf(docs: DataFrame, max_features: int = 1000, min_df: int = 2, max_df: float = 0.95, distinct: bool = True) -> DataFrame:
@@ -20,16 +36,16 @@ def fit_tfidf(docs: DataFrame, max_features: int = 1000, min_df: int = 2, max_df
     rest the ``max_features`` most frequent stay, ties by term. ``idx`` follows the terms' order.
     With ``distinct`` no token repeats inside a document, and term and document frequency are one.
     """
-    total = docs.agg(F.count("*").alias("n_docs"))
     if distinct:
-        terms = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        terms = terms.withColumn("tf", F.col("df"))
+        terms = entries(docs).groupBy("term").agg(F.count("*").alias("df")).withColumn("tf", F.col("df"))
     else:
         terms = _counts(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    usable = terms.crossJoin(F.broadcast(total)).filter(  # one row
-        (F.col("df") >= min_df) & (F.col("df") <= F.col("n_docs") * F.lit(max_df))
-    )
-    kept = usable.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
+    # Both sides rest on the same exchange, so the documents are read once. For that the marker must
+    # not be filtered out by a condition on the term alone, which Spark would push below the exchange.
+    total = terms.agg(F.max(F.when(F.col("term") == MARKER, F.col("df"))).alias("n_docs"))
+    most = F.when(F.col("term") == MARKER, F.lit(-1.0)).otherwise(F.col("n_docs") * F.lit(max_df))
+    usable_terms = terms.crossJoin(F.broadcast(total)).filter((F.col("df") >= min_df) & (F.col("df") <= most))  # one row
+    kept = usable_terms.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
     idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     by_term = Window.orderBy("term")  # over at most max_features rows
     return kept.select(
@@ -37,21 +53,21 @@ def fit_tfidf(docs: DataFrame, max_features: int = 1000, min_df: int = 2, max_df
     )
 
 
+def vocabulary_side(terms: DataFrame, max_features: int) -> DataFrame:
+    """The vocabulary as a join side: replicated while its row limit proves it small."""
+    return F.broadcast(terms) if max_features <= MAX_BROADCAST_TERMS else terms
+
+
 def tfidf_vectors(docs: DataFrame, terms: DataFrame, max_features: int = 1000, distinct: bool = True) -> DataFrame:
     """Sparse unit vectors (id, idx, weight), arrays in idx order, of the documents with any term.
 
     The vocabulary has at most ``max_features`` rows, so it is sent to the documents and not the other
     way round; a document's vector has no more entries than that either.
     """
-    vocabulary = terms.select("term", "idf", "idx")
-    if max_features <= MAX_BROADCAST_TERMS:
-        vocabulary = F.broadcast(vocabulary)
-    if distinct:
-        counts = docs.select("id", F.explode("tokens").alias("term")).withColumn("tf", F.lit(1))
-    else:
-        counts = _counts(docs)
+    vocabulary = vocabulary_side(terms.select("term", "idf", "idx"), max_features)
+    counts = entries(docs).withColumn("tf", F.lit(1)) if distinct else _counts(docs)
     raw = counts.join(vocabulary, "term").select("id", F.struct("idx", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
-    packed = raw.groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    packed = raw.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e"))
     length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
     return packed.withColumn("_len", length).select(
         "id",

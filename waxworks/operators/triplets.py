@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waxworks.functions.seeded import seeded_int, seeded_key
 from waxworks.functions.vectors import distance
+from waxworks.operators.joins import join_checked
 from waxworks.operators.ordering import group_rank, row_index
 
 PROFILE = ("genres", "styles", "label", "year")
@@ -71,7 +72,7 @@ def hard_pool(scored: DataFrame) -> DataFrame:
         .filter((F.col("above") < F.col("pool")) & (F.col("above") + F.col("n") >= F.col("pool")))
         .select("slot", F.col("score").alias("_cut"), (F.col("pool") - F.col("above")).alias("_room"))
     )
-    near = scored.join(cut, "slot").filter(F.col("score") >= F.col("_cut"))
+    near = join_checked(scored, cut, ["slot"]).filter(F.col("score") >= F.col("_cut"))
     sure = near.filter(F.col("score") > F.col("_cut")).select("slot", "id", "score")
     edge = near.filter(F.col("score") == F.col("_cut"))
     ranked = group_rank(edge, ["slot"], F.col("id"), name="_r").filter(F.col("_r") <= F.col("_room"))

@@ -10,6 +10,7 @@ from waxworks.operators.ordering import keep_first
 from waxworks.operators.rows import attach_first, ends_within, insert_if_absent
 from waxworks.operators.similarity import similarity_filter
 from waxworks.operators.tfidf import fit_tfidf, long_form, tfidf_vectors
+from waxworks.session import stable
 
 SHORTLIST, STAGE_ONE, ENRICHED = 1000, 500, 200
 
@@ -74,7 +75,7 @@ def title_training_matrix(listings: DataFrame, stop_words: list[str], max_featur
     """
     words = F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     docs = listings.select("id", F.filter(words, lambda w: ~w.isin(*stop_words)).alias("tokens"))
-    terms = fit_tfidf(docs, max_features, min_df=1, max_df=1.0, distinct=False)
+    terms = stable(fit_tfidf(docs, max_features, min_df=1, max_df=1.0, distinct=False))
     flat = long_form(tfidf_vectors(docs, terms, max_features, distinct=False), terms)
     known = listings.select("id", F.col("price").try_cast("double").alias("price"), "label")
     return flat.join(known, "id")

@@ -34,7 +34,7 @@ def ranking_batches(listings: DataFrame, records: DataFrame, n: int = SESSION_SI
     drawn = pool.orderBy(seeded_key(key, seed=seed), key).limit(n)
     # at most n rows: one sorted array gives the places
     entry = F.struct((-F.col("score")).alias("o"), "listing_id", "record_id", "score")
-    packed = drawn.agg(F.array_sort(F.collect_list(entry)).alias("a"))
+    packed = drawn.agg(F.sort_array(F.collect_list(entry)).alias("a"))
     placed = packed.select(F.posexplode("a").alias("place", "e"), F.size("a").alias("_n"))
     whole = F.floor(F.col("_n") / size) * size
     return placed.filter(F.col("place") < whole).select(

@@ -29,7 +29,7 @@ def read_csv_set(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 def read_name_list(spark: SparkSession, path: str) -> DataFrame:
     """Files that each hold one JSON list of strings."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "array<string>")).alias("name"))
 
 

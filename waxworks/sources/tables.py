@@ -36,6 +36,15 @@ def load_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table that has fewer splits than there are cores.
+
+    A table of any size has more splits and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_jdbc(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int], parts: int, **options) -> DataFrame:
     """Scan a database table in parallel ranges of a numeric key."""
     return spark.read.jdbc(
@@ -45,7 +54,8 @@ def load_jdbc(spark: SparkSession, url: str, table: str, key: str, bounds: tuple
 
 def currency_rates(spark: SparkSession, rates: dict[str, float] = RATES) -> DataFrame:
     """One row per currency. The list of currencies is fixed, so joins may broadcast it."""
-    return spark.createDataFrame(list(rates.items()), "currency string, rate double")
+    rows = ", ".join(f"('{code}', {rate}D)" for code, rate in rates.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(currency, rate)")
 
 
 class Catalogue:
@@ -97,7 +107,7 @@ class Catalogue:
         condition = F.try_element_at(names, flags)
         price = F.round(F.col("l_extendedprice") / F.col("l_quantity") / 100, 2).cast("string")
         sellers = self.sellers.select(F.col("id").alias("seller_id"), "currency")
-        lines = self.table("lineitem").withColumn("seller_id", F.col("l_suppkey"))
+        lines = spread(self.table("lineitem"), "l_orderkey").withColumn("seller_id", F.col("l_suppkey"))
         return lines.join(sellers, "seller_id").select(
             F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("listing_id"),
             "seller_id",
@@ -153,12 +163,16 @@ class Catalogue:
             F.when(F.col("user_id") % 3 == 0, F.lit("1000")).otherwise("3000").alias("condition_id"),
         )
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Whole texts; work on them is heavy enough to be worth spreading."""
+        return spread(self.table("documents").select("doc_id", "text"), "doc_id")
+
     @cached_property
     def titles(self) -> DataFrame:
         """Whole texts as titles, with what is known about them."""
         labels = self.table("labels").select("doc_id", "quality")
-        docs = self.table("documents").select("doc_id", F.col("text").alias("title"))
-        return docs.join(labels, "doc_id", "left")
+        return self.documents.select("doc_id", F.col("text").alias("title")).join(labels, "doc_id", "left")
 
     @cached_property
     def keeper_titles(self) -> DataFrame:

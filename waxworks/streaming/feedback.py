@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from waxworks.operators.metrics import batch_performance, count_if, share
+from waxworks.operators.model import KeeperModel, update_keeper_model
 from waxworks.operators.rows import apply_annotations
+from waxworks.operators.threshold import optimal_threshold
 
 # Batches that are collected before the model is updated.
 BUFFER = 5
@@ -45,6 +49,25 @@ def buffered_groups(feed: DataFrame, size: int = BUFFER) -> DataFrame:
     )
 
 
+class Update(NamedTuple):
+    model: KeeperModel
+    threshold: float
+    f1_score: float
+    n_rows: int
+
+
+def on_buffer(model: KeeperModel, buffer: DataFrame, designed: DataFrame, instances: DataFrame) -> Update:
+    """What a whole buffer sets off: a model update on its known records, then a new threshold.
+
+    ``designed`` is (record_id, x), ``instances`` the log that the threshold is tuned on. Use it from
+    ``foreachBatch`` on the stream of :func:`buffered_groups`.
+    """
+    rows = buffer.join(designed, "record_id").select("x", F.col("actual").cast("double").alias("y"))
+    updated = update_keeper_model(model, rows)
+    best = optimal_threshold(instances).first()
+    return Update(updated, best["threshold"], best["f1_score"], int(updated.history[-1]["n_rows"]))
+
+
 def run_buffered(feed: DataFrame, out: str, checkpoint: str) -> None:
     """Drain the feed and append whole buffers to ``out``; a restart goes on from the saved state."""
     query = (
