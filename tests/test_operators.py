@@ -450,3 +450,10 @@ def test_auction_window_is_strict(spark):
     df = spark.createDataFrame([(e,) for e in ends], "e string")
     got = [r[0] for r in df.select(rows.ends_within(F.col("e"), F.lit("2024-01-10 00:00:00").cast("timestamp"))).collect()]
     assert got == [False, True, True, False, False, False]
+
+
+def test_anchors_are_sent_to_the_negatives(spark):
+    anchors = _people(spark, 3).select(F.col("id").cast("string").alias("slot"), F.struct(*triplets.PROFILE).alias("anchor"))
+    scored = triplets.score_negatives(anchors, _people(spark, 50, 100))
+    assert "BroadcastNestedLoopJoin" in plan(scored) and "Exchange hashpartitioning" not in plan(scored)
+    assert scored.count() == 150

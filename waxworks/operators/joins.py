@@ -10,11 +10,16 @@ from waxworks.session import stable
 REPLICATE_ROWS = 1_000_000
 
 
+def replicated_if_small(side: DataFrame, limit: int = REPLICATE_ROWS) -> DataFrame:
+    """``side``, computed once, counted, and marked for broadcast if it has at most ``limit`` rows."""
+    kept = stable(side)
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def join_checked(large: DataFrame, side: DataFrame, on: list[str], how: str = "inner", limit: int = REPLICATE_ROWS) -> DataFrame:
     """Join that moves ``side`` to ``large`` if it has at most ``limit`` rows, and shuffles otherwise.
 
-    The side is computed once and kept, so counting it costs nothing extra. An adaptive plan would
-    find out just as well, but only after it had shuffled the large frame.
+    The side is kept, so counting it costs nothing extra. An adaptive plan would find out just as
+    well, but only after it had shuffled the large frame.
     """
-    kept = stable(side)
-    return large.join(F.broadcast(kept) if kept.count() <= limit else kept, on, how)
+    return large.join(replicated_if_small(side, limit), on, how)

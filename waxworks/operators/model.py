@@ -115,7 +115,9 @@ def _pass(rows: DataFrame, weights: np.ndarray, pos_weight: float) -> tuple[np.n
             scalars += [t.sum(), (w * loss)[t].sum(), val.sum(), loss[val].sum(), right.sum()]
         yield pd.DataFrame({"sums": [np.concatenate([grad, curve.ravel(), scalars])]})
 
-    parts = rows.select("x", "y", "is_val").mapInPandas(partial, "sums array<double>")
+    # Few long tasks: each leaves one partial sum, and there should not be more of those than needed.
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    parts = rows.select("x", "y", "is_val").coalesce(tasks).mapInPandas(partial, "sums array<double>")
     added = parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
     flat = added.orderBy("i").toPandas()["v"].to_numpy()
     return flat[:d], flat[d : d + d * d].reshape(d, d), dict(zip(_SCALARS, flat[d + d * d :].tolist()))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from waxworks.functions.seeded import seeded_int, seeded_key
 from waxworks.functions.vectors import distance
-from waxworks.operators.joins import join_checked
+from waxworks.operators.joins import join_checked, replicated_if_small
 from waxworks.operators.ordering import group_rank, row_index
 
 PROFILE = ("genres", "styles", "label", "year")
 MIN_HISTORY = 10
+MAX_ANCHORS = 10_000
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -34,12 +35,14 @@ def similarity(a: Column, b: Column) -> Column:
 def score_negatives(anchors: DataFrame, negatives: DataFrame) -> DataFrame:
     """Similarity of every negative to each anchor: (slot, id, score).
 
-    ``anchors`` is (slot, anchor), a short list by construction: the slots of one mining run. It is
-    the side Spark replicates while it is under the broadcast threshold; a longer list still works,
-    as a partitioned product.
+    ``anchors`` is (slot, anchor), a short list by construction: the slots of one mining run, a
+    hundred in the reference. It is counted and then sent to the negatives, which are scored where
+    they lie; what follows adds them up per score, so the scored rows are never shuffled. A list that
+    is longer than the limit still gives the same rows, as a partitioned product.
     """
     candidates = negatives.select("id", F.struct(*PROFILE).alias("_b"))
-    return candidates.crossJoin(anchors.select("slot", F.col("anchor").alias("_a"))).select(
+    short = replicated_if_small(anchors.select("slot", F.col("anchor").alias("_a")), MAX_ANCHORS)
+    return candidates.crossJoin(short).select(
         "slot", "id", similarity(F.col("_a"), F.col("_b")).alias("score")
     )
 

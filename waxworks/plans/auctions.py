@@ -48,7 +48,7 @@ def recommend(candidates: DataFrame, aspects: DataFrame, top: int = STAGE_ONE, e
     ``candidates`` is (ebay_id, title, prediction). The first ``top`` by prediction are kept, the
     first ``enriched`` of them get metadata where it exists.
     """
-    first = keep_first(candidates, ["ebay_id"], F.col("prediction").desc())
+    first = keep_first(candidates, ["ebay_id"], F.col("prediction").desc(), F.col("title"))
     order = (F.col("prediction").desc(), F.col("ebay_id"))
     stage_one = first.orderBy(*order).limit(top)
     stage_two = stage_one.orderBy(*order).limit(enriched)
