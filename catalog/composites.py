@@ -495,13 +495,13 @@ def m12(c):
     return triplets.mine_batch_triplets(batch, *_keepers(c), seed=4)
 
 
-_ANCHORS = f"SELECT CAST(id AS VARCHAR) AS slot, id AS anchor FROM keepers ORDER BY {seeded_sql('id', seed=8)}, id LIMIT 5"
+_ANCHORS = f"SELECT CAST(id AS VARCHAR) AS slot, id AS anchor FROM keepers ORDER BY {seeded_sql('id', seed=8)}, id LIMIT 100"
 _SCORED_NEG = f"SELECT s.slot, b.id, {SIMILARITY_SQL} AS score FROM anchors s JOIN keepers a ON a.id = s.anchor CROSS JOIN others b"
 
 
 def _scored_negatives(c):
     keepers, others = _keepers(c)
-    anchors = seeded_sample(keepers, "id", 5, seed=8).select(
+    anchors = seeded_sample(keepers, "id", 100, seed=8).select(
         F.col("id").cast("string").alias("slot"), F.struct(*triplets.PROFILE).alias("anchor")
     )
     return triplets.score_negatives(anchors, others)
@@ -776,7 +776,7 @@ def m23(c):
     return rows.mark_evaluated(c.records, ids).select("id", "evaluated")
 
 
-_DELIVERY = """SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS listing_id, s.name AS seller,
+_DELIVERY = """SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS listing_id, s.name AS seller, l_quantity,
  CASE WHEN l_partkey % 19 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS discogs_id,
  CASE WHEN l_linenumber = 7 THEN '12.50' ELSE CAST(l_quantity AS VARCHAR) || ', USD' END AS record_price, l_returnflag AS media_condition,
  CASE WHEN l_partkey % 19 = 0 THEN 'missing discogs_id' WHEN l_linenumber = 7 THEN 'bad record_price' END AS reason
@@ -843,7 +843,7 @@ def m24_listings(c):
 
 @query(
     "m24_appended_listings",
-    with_views("sellers", "SELECT listing_id, l_quantity AS price, 'USD' AS currency FROM good JOIN lineitem ON listing_id = concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)", _GOOD),
+    with_views("sellers", "SELECT listing_id, l_quantity AS price, 'USD' AS currency FROM good", _GOOD),
 )
 def m24_appended(c):
     return _intake(c).listings.select("listing_id", "price", "currency")

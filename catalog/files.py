@@ -101,14 +101,13 @@ def s4_capped(c):
     return landed.auction_rows(items).select("ebay_id")
 
 
-_STOCK = """SELECT l_partkey AS discogs_id, media_condition, round(l_extendedprice / l_quantity / 100, 2) || ', ' || s.currency AS record_price,
- s.name AS seller, CASE WHEN l_partkey % 4 = 0 THEN '' ELSE r.artist END AS artist, r.title, r.label, '' AS catno,
+_STOCK = """SELECT r.id AS discogs_id, media_condition, record_price,
+ s.name AS seller, CASE WHEN r.id % 4 = 0 THEN '' ELSE r.artist END AS artist, r.title, r.label, '' AS catno,
  CASE WHEN r.format = 'CD' THEN 'CD' ELSE 'Vinyl LP' END AS format,
- CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE r.wants END AS wants, CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE r.haves END AS haves,
- array_to_string(r.genres, '|') AS genres, CASE WHEN l_partkey % 6 = 0 THEN '' ELSE array_to_string(r.styles, '|') END AS styles, r.year
- FROM lineitem JOIN listings ON listing_id = concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)
- JOIN sellers s ON s.id = l_suppkey JOIN records r ON r.id = l_partkey
- WHERE l_linenumber < 7"""
+ CASE WHEN r.id % 5 = 0 THEN 0 ELSE r.wants END AS wants, CASE WHEN r.id % 5 = 0 THEN 0 ELSE r.haves END AS haves,
+ array_to_string(r.genres, '|') AS genres, CASE WHEN r.id % 6 = 0 THEN '' ELSE array_to_string(r.styles, '|') END AS styles, r.year
+ FROM listings JOIN sellers s ON s.id = seller_id JOIN records r ON r.id = record_id
+ WHERE split_part(listing_id, '-', 4) <> '7'"""
 
 
 def _stock_json(c):

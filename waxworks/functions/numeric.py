@@ -22,17 +22,22 @@ GRADE_SHORT = {
 def hash_index(text: Column, size: int) -> Column:
     """Slot 1..size-1 of a text in a hashed vocabulary, 0 for blank.
 
-    The slot is the 128-bit md5 modulo size-1. The hex digest is folded eight digits at a time, so
-    that every step fits in a bigint.
+    The slot is the 128-bit md5 modulo size-1. The hex digest is folded at most fifteen digits at a
+    time, so that every step fits in a bigint.
     """
     clean = F.trim(F.lower(text))
-    digest = F.md5(clean)
-    modulus = F.lit(size - 1)
-    rest = F.lit(0).cast("bigint")
-    for start in (1, 9, 17, 25):
-        chunk = F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint")
-        rest = (rest * F.lit(2**32) + chunk) % modulus
-    return F.when(F.coalesce(clean, F.lit("")) == "", F.lit(0).cast("bigint")).otherwise(rest + 1)
+    modulus = size - 1
+
+    def fold(digest: Column) -> Column:
+        rest = F.lit(0).cast("bigint")
+        for start, n in ((1, 15), (16, 15), (31, 2)):
+            chunk = F.conv(F.substring(digest, start, n), 16, 10).cast("bigint")
+            rest = (rest * F.lit(16**n % modulus) + chunk) % F.lit(modulus)
+        return rest + 1
+
+    # Through a one-element list the digest is computed once and not once per step.
+    slot = F.get(F.transform(F.array(F.md5(clean)), fold), F.lit(0))
+    return F.when(F.coalesce(clean, F.lit("")) == "", F.lit(0).cast("bigint")).otherwise(slot)
 
 
 def hash_slots(items: Column, size: int, n: int = 3) -> list[Column]:

@@ -60,12 +60,9 @@ def design(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     Title words are counted per hashed bucket and scaled by the title's length.
     """
     plain = [F.lit(1.0), *[F.col(n).cast("double") for n in NUMBER_COLUMNS + CONDITION_COLUMNS]]
-    places = F.sequence(F.lit(0), F.lit(buckets - 1))
-
-    def one_hot(slot):
-        bucket = F.when(F.col(slot) > 0, F.col(slot) % buckets)
-        return F.transform(places, lambda i: F.coalesce((i == bucket).cast("double"), F.lit(0.0)))
-
+    # -1 for an empty slot, so that it falls into no bucket
+    buckets_of = {f"_b_{c}": F.when(F.col(c) > 0, F.col(c) % buckets).otherwise(-1) for c in CATEGORY_COLUMNS}
+    one_hot = [(F.col(b) == i).cast("double") for b in buckets_of for i in range(buckets)]
     words = title_tokens(raw_title(*[F.col(n) for n in ("artist", "title", "label", "year")]))
     hashed = F.transform(words, lambda w: F.pmod(F.crc32(w), F.lit(TITLE_BUCKETS)))
     size = F.greatest(F.size("_h"), F.lit(1))
@@ -73,8 +70,8 @@ def design(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         F.sequence(F.lit(0), F.lit(TITLE_BUCKETS - 1)),
         lambda i: F.size(F.filter(F.col("_h"), lambda h: h == i)) / size,
     )
-    blocks = [F.array(*plain), *[one_hot(c) for c in CATEGORY_COLUMNS], counts]
-    return df.withColumn("_h", hashed).withColumn("x", F.concat(*blocks)).drop("_h")
+    prepared = df.withColumns({**buckets_of, "_h": hashed})
+    return prepared.withColumn("x", F.concat(F.array(*plain, *one_hot), counts)).drop("_h", *buckets_of)
 
 
 def width(buckets: int = BUCKETS) -> int:

@@ -10,6 +10,7 @@ from waxworks.operators.bandit import select_batch
 from waxworks.operators.features import fit_features, transform_features
 from waxworks.operators.model import KeeperModel, design, score
 from waxworks.operators.ordering import seeded_sample
+from waxworks.sources.tables import spread
 
 LATEST, TOP, CANDIDATES = 500, 50, 1000
 
@@ -17,7 +18,7 @@ LATEST, TOP, CANDIDATES = 500, 50, 1000
 def record_features(records: DataFrame, fitted: DataFrame | None = None, buckets: int = 8) -> DataFrame:
     """Records with dense features and the model's design vector."""
     fitted = fit_features(records) if fitted is None else fitted
-    return design(transform_features(records, fitted), buckets)
+    return design(transform_features(spread(records, "id"), fitted), buckets)
 
 
 def pick_of_the_day(listings: DataFrame, scores: DataFrame, seed, latest: int = LATEST, top: int = TOP) -> DataFrame:
