@@ -19,7 +19,8 @@ from catalog.scalars import (
 from waxworks.functions import text
 from waxworks.operators import bandit, features, knapsack, metrics, model, prefs, rows, similarity, stock, tfidf, triplets
 from waxworks.operators.ordering import seeded_sample
-from waxworks.plans import auctions, intake, ranking, selection
+from waxworks.plans import auctions, intake, ranking, saved, selection
+from waxworks.session import scratch_path
 
 # ---------------------------------------------------------------- text
 
@@ -105,9 +106,7 @@ _MOCKS = f"SELECT id, {tokens_sql(mock_sql())} AS tokens FROM records WHERE eval
 
 
 def _keeper_mocks(c):
-    title = text.raw_title(*[F.col(x) for x in ("artist", "title", "label", "year")])
-    kept = c.records.filter(F.col("evaluated") & F.col("wanted"))
-    return kept.select("id", tfidf.usable(text.title_words(title)).alias("tokens"))
+    return saved.keeper_documents(c.records)
 
 
 @query(
@@ -122,6 +121,23 @@ def m2(c):
     return rounded(tfidf.fit_tfidf(_keeper_mocks(c), 1000), "idf").select("term", "df", "idf", "idx")
 
 
+@query(
+    "m2_saved_vocabulary",
+    with_views(
+        "records",
+        "SELECT 'v20240110_000000' AS version, term, df, round(idf, 6) AS idf FROM terms",
+        {"d": _MOCKS, "terms": terms_sql("d", 10000)},
+    ),
+)
+def m2_saved(c):
+    folder = scratch_path(c.spark, "vocabulary")
+    day = F.lit("2024-01-09 00:00:00").cast("timestamp")
+    saved.rebuild_vocabulary(c.records, folder, day, max_features=10)
+    version = saved.rebuild_vocabulary(c.records, folder, day + F.expr("INTERVAL 1 DAY"))
+    newest = rounded(saved.latest(c.spark, folder), "idf")
+    return newest.select(F.lit(version).alias("version"), "term", "df", "idf")
+
+
 @query(
     "f24_tfidf_weights",
     with_views(

@@ -112,3 +112,14 @@ def test_compare_models(records):
     featured = transform_features(records, fit_features(records))
     got = model.compare_models(featured, "wanted", F.col("id"), configurations=model.CONFIGURATIONS[:2], rounds=3).collect()
     assert {r["name"] for r in got} == {"baseline", "more_buckets"} and got[0]["f1"] >= got[1]["f1"] > 0
+
+
+def test_saved_models(spark, rows, tmp_path):
+    from waxworks.plans import saved
+
+    folder = str(tmp_path / "models")
+    assert saved.latest_model(spark, folder) is None
+    first, second = model.fit_keeper_model(rows, rounds=2), model.fit_keeper_model(rows, rounds=4, l2=5.0)
+    for day, fitted in ((2, second), (1, first)):  # the newest counts, not the last written
+        saved.save_model(fitted, spark, folder, F.timestamp_seconds(F.lit(day * 86400)))
+    assert np.array_equal(saved.latest_model(spark, folder).weights, second.weights)

@@ -251,6 +251,11 @@ def test_best_cosine_against_brute_force(spark, monkeypatch, pieces):
     got = {r["id"]: r["score"] for r in similarity.similarity_scores(c, k, 25).collect()}
     assert got == pytest.approx(_brute_scores(cands, keeps, 25))
     assert got[60] == 0.0 and 61 not in got
+    from waxworks.functions.text import title_words
+
+    docs = k.select("id", tfidf.usable(title_words(F.col("title"))).alias("tokens"))
+    saved = similarity.similarity_scores(c, k, 25, terms=tfidf.fit_tfidf(docs, 25)).collect()
+    assert {r["id"]: r["score"] for r in saved} == pytest.approx(got)
     top = similarity.similarity_filter(c, k, n=10, seed=1).collect()
     assert sorted(r["position"] for r in top) == list(range(10))
 
