@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import VIEWS, query, seeded_sql, tokens_sql, with_views
+from catalog.base import query, seeded_sql, tokens_sql, with_views
 from catalog.scalars import DEMAND_SQL
 from waxworks.functions import text
 from waxworks.functions.numeric import demand
 from waxworks.operators import metrics, ordering, registry, rows
+from waxworks.operators.features import fit_features
+from waxworks.operators.stock import selected_totals, seller_maxima
+from waxworks.operators.triplets import triplet_loss
+from waxworks.plans.ranking import session_progress
 
 R = 6
 
@@ -91,8 +95,6 @@ def a6(c):
     ),
 )
 def a7(c):
-    from waxworks.operators.features import fit_features
-
     fitted = fit_features(c.records.withColumn("record_price", F.lit(None).cast("string")))
     return rounded(fitted, "ratio_lo", "ratio_hi")
 
@@ -107,8 +109,6 @@ def a7(c):
     ),
 )
 def a8(c):
-    from waxworks.operators.stock import seller_maxima
-
     records = c.records.select(F.col("id").alias("record_id"), "wants", "haves", "year")
     priced = rows.with_usd(c.listings, c.rates).join(records, "record_id").withColumns(
         {
@@ -129,8 +129,6 @@ def a8(c):
     ),
 )
 def a9(c):
-    from waxworks.operators.stock import selected_totals
-
     chosen = rows.with_usd(c.listings, c.rates).withColumn("score", F.col("record_id") % 10)
     return selected_totals(chosen).withColumn("total_cost", F.round("total_cost", 4))
 
@@ -157,8 +155,6 @@ def a11(c):
     CAST(floor(count(*) FILTER (event_type = 'purchase') / 10) AS BIGINT) AS completed_batches FROM events GROUP BY user_id""",
 )
 def a12(c):
-    from waxworks.plans.ranking import session_progress
-
     events = c.table("events").select(
         F.col("user_id").alias("session_id"), (F.col("event_type") == "purchase").alias("done")
     )
@@ -227,8 +223,6 @@ def vector_triplets(c):
 
 @query("a17_triplet_loss", f"SELECT round(avg(loss), 6) AS loss FROM ({TRIPLET_LOSS_SQL})")
 def a17(c):
-    from waxworks.operators.triplets import triplet_loss
-
     loss = triplet_loss(F.col("x"), F.col("p"), F.col("n"))
     return vector_triplets(c).agg(F.round(F.avg(loss), 6).alias("loss"))
 

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from catalog.aggregates import LATEST_SQL, LOSSES_SQL, TRIPLET_LOSS_SQL, rounded, vector_triplets, versions
 from catalog.base import hash_sql, mock_sql, query, seeded_int_sql, seeded_sql, tokens_sql, with_views
-from catalog.relational import ANNOTATED_SQL, AS_OF, _ALLOWED, _ENDS
+from catalog.relational import AS_OF, _ALLOWED, _ENDS
 from catalog.scalars import (
     DEMAND_SQL, RATIO_SQL, SIMILARITY_SQL, SUGGESTED_SQL, THOMPSON_SQL, YEAR_SQL, _grade_sql,
 )
 from waxworks.functions import text
-from waxworks.operators import bandit, features, knapsack, metrics, model, prefs, rows, similarity, stock, tfidf, triplets
-from waxworks.operators.ordering import seeded_sample
+from waxworks.functions.money import price_edge, suggested_price
+from waxworks.operators import bandit, features, knapsack, metrics, model, prefs, registry, rows, similarity, stock, tfidf, triplets
+from waxworks.operators.ordering import seeded_sample, top_k_per_group
 from waxworks.plans import auctions, intake, ranking, saved, selection
 from waxworks.session import scratch_path
 
@@ -344,8 +345,6 @@ def f15(c):
     ),
 )
 def f14(c):
-    from waxworks.functions.money import price_edge, suggested_price
-
     records = c.records.select(F.col("id").alias("record_id"), "suggested_price")
     listed = suggested_price(F.col("suggested_price"), F.col("media_condition"))
     return rows.with_usd(c.listings, c.rates).join(records, "record_id").select(
@@ -382,8 +381,6 @@ _BEST20 = """SELECT listing_id FROM (SELECT *, row_number() OVER (PARTITION BY s
     ),
 )
 def t4(c):
-    from waxworks.operators.ordering import top_k_per_group
-
     scored = _scored(c)
     chosen = top_k_per_group(scored, ["seller_id"], F.col("score").desc(), F.col("listing_id"), k=20)
     return rounded(stock.contenders(scored, chosen), "score").select("seller_id", "listing_id", "score", "place")
@@ -662,8 +659,6 @@ def m15_log(c):
 
 @query("m17_latest_active", LATEST_SQL)
 def m17(c):
-    from waxworks.operators import registry
-
     known = versions(c)
     newest = known.filter("is_active").orderBy(F.col("created_at").desc(), F.col("version").desc()).limit(1)
     older = known.join(newest.select("version"), "version", "left_anti").select(known.columns)

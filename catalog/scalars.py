@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import hash_sql, mock_sql, query, seeded_int_sql, title_sql, with_views
-from waxworks.functions import money, numeric, payload, seeded, text, vectors
+from waxworks.functions import money, numeric, payload, text, vectors
 from waxworks.functions.numeric import GRADE_SHORT, GRADES, VOCABULARY
 from waxworks.operators import triplets
+from waxworks.operators.bandit import exploration_rate, optimistic, predicted_flag, reward, thompson_sample
 from waxworks.operators.features import CONDITION_COLUMNS
 
 
@@ -229,8 +230,6 @@ def f13(c):
     ),
 )
 def f16(c):
-    from waxworks.operators.bandit import exploration_rate
-
     batches = c.feedback_batches.groupBy("batch_number").agg(F.count("*").alias("n"))
     return batches.select("batch_number", F.round(exploration_rate(F.col("batch_number")), 6).alias("rate"))
 
@@ -240,8 +239,6 @@ def f16(c):
     with_views("feedback", "SELECT instance_id, round(predicted_prob + 2.0 * uncertainty, 6) AS score FROM feedback"),
 )
 def f17(c):
-    from waxworks.operators.bandit import optimistic
-
     score = optimistic(F.col("predicted_prob"), F.col("uncertainty"))
     return c.feedback.select("instance_id", F.round(score, 6).alias("score"))
 
@@ -272,10 +269,6 @@ def f19(c):
     return c.aspects.select("ebay_id", *[v.alias(k) for k, v in found.items()])
 
 
-_RAW_LISTS = """SELECT p_partkey AS id, p_name, p_type, CASE p_partkey % 4 WHEN 0 THEN '["' || p_name || '","' || p_type || '"]'
- WHEN 1 THEN '"' || p_name || '"' WHEN 2 THEN p_name ELSE '' END AS raw FROM part"""
-
-
 @query(
     "f20_string_list",
     """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_name || '|' || p_type WHEN 1 THEN p_name ELSE '' END AS items,
@@ -361,8 +354,6 @@ THOMPSON_SQL = with_views(
 
 @query("f26_thompson_sample", THOMPSON_SQL)
 def f26(c):
-    from waxworks.operators.bandit import thompson_sample
-
     drawn = thompson_sample(F.col("predicted_prob"), F.col("uncertainty"), F.col("instance_id"), seed=7)
     return c.feedback.select("instance_id", F.round(drawn, 6).alias("sampled"))
 
@@ -392,8 +383,6 @@ def f27(c):
     ),
 )
 def f28(c):
-    from waxworks.operators.bandit import predicted_flag, reward
-
     flag = predicted_flag(F.col("predicted_prob"), F.lit(0.45))
     return c.feedback.select("instance_id", flag.alias("predicted"), reward(flag, F.col("actual")).alias("reward"))
 

@@ -462,3 +462,11 @@ def test_anchors_are_sent_to_the_negatives(spark):
     scored = triplets.score_negatives(anchors, _people(spark, 50, 100))
     assert "BroadcastNestedLoopJoin" in plan(scored) and "Exchange hashpartitioning" not in plan(scored)
     assert scored.count() == 150
+
+
+def test_listings_are_not_shuffled_for_their_maxima(spark, folder):
+    from catalog.composites import _scored
+    from waxworks.sources.tables import Catalogue
+
+    shown = plan(_scored(Catalogue(spark, folder)))
+    assert "SortMergeJoin" not in shown and "hashpartitioning(seller_id" not in shown

@@ -60,9 +60,12 @@ def primitive(value: Column, kind: str) -> Column:
     return F.to_json(value) if kind in ("array", "map", "struct") else value.cast("string")
 
 
+_RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+
+
 def instant(text: Column) -> Column:
-    """RFC 3339 time, null when it does not parse."""
-    return F.try_to_timestamp(text)
+    """RFC 3339 time with its zone, null when it does not parse."""
+    return F.try_to_timestamp(F.when(text.rlike(_RFC3339), text))
 
 
 def version_stamp(moment: Column) -> Column:

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from waxworks.functions.text import raw_title, title_tokens
 from waxworks.operators.features import CATEGORY_COLUMNS, CONDITION_COLUMNS, NUMBER_COLUMNS
-from waxworks.operators.metrics import MAX_CLASS_WEIGHT
+from waxworks.operators.bandit import predicted_flag, reward
+from waxworks.operators.metrics import MAX_CLASS_WEIGHT, evaluate
 from waxworks.operators.ordering import split_by_position
 
 # Cut for accuracy while training, rounds without progress before stopping.
@@ -211,8 +212,6 @@ def instance_log(feedback: DataFrame, records: DataFrame, threshold: float = 0.5
 
     ``feedback`` is (instance_id, record_id, predicted_prob, uncertainty, actual).
     """
-    from waxworks.operators.bandit import predicted_flag, reward
-
     known = records.select(F.col("id").alias("record_id"))
     flag = predicted_flag(F.col("predicted_prob"), F.lit(threshold))
     found = feedback.join(known, "record_id").withColumn("predicted", flag)
@@ -241,8 +240,6 @@ CONFIGURATIONS = (
 
 def compare_models(features: DataFrame, label: str, *order, configurations=CONFIGURATIONS, rounds: int = 8) -> DataFrame:
     """Test metrics of each configuration on the same 60/20/20 split, best F1 first."""
-    from waxworks.operators.metrics import evaluate
-
     base = split_by_position(features, *order, cuts=(0.6, 0.8), names=("train", "val", "test"))
     base = base.withColumns({"y": F.col(label).cast("double"), "is_val": F.col("split") == "val"}).persist()
     results = []

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waxworks.functions.money import price_amount, price_currency, to_usd
-from waxworks.operators.ordering import keep_first
+from waxworks.functions.payload import instant
+from waxworks.operators.ordering import keep_first, top_k_per_group
 
 # The grades worth buying.
 ALLOWED_CONDITIONS = ("Near Mint (NM or M-)", "Very Good Plus (VG+)")
@@ -36,7 +37,7 @@ def worth_buying(format_text: Column, wants: Column, haves: Column) -> Column:
 
 def ends_within(end_date: Column, as_of: Column, after_hours: int = 24, before_hours: int = 48) -> Column:
     """Strictly inside a span after ``as_of``; an unreadable date is outside."""
-    ends = F.try_to_timestamp(end_date)
+    ends = instant(end_date)
     lo = as_of + F.expr(f"INTERVAL {after_hours} HOURS")
     hi = as_of + F.expr(f"INTERVAL {before_hours} HOURS")
     return F.coalesce((ends > lo) & (ends < hi), F.lit(False))
@@ -47,7 +48,7 @@ def on_offer(df: DataFrame, option: str, until: Column | None = None, country: s
     found = df.filter(
         (F.col("condition_id") == condition_id) & (F.col("country") == country) & (F.col("buying_option") == option)
     )
-    ends = F.try_to_timestamp("end_date")
+    ends = instant(F.col("end_date"))
     if until is not None:
         found = found.filter(ends <= until)
     return found.orderBy(ends, F.col("ebay_id"))
@@ -149,8 +150,6 @@ def recent_ids(existing: DataFrame, incoming: DataFrame, k: int = 50) -> DataFra
     first_lists = fresh.join(known, "user_id", "left_anti")
     both = fresh.join(known, "user_id", "left_semi").unionByName(old.join(updated, "user_id", "left_semi"))
     single = both.groupBy("user_id", "record_id").agg(F.min(F.struct("source", "pos")).alias("o"))
-    from waxworks.operators.ordering import top_k_per_group
-
     kept = top_k_per_group(
         single.select("user_id", "record_id", "o.source", "o.pos"), ["user_id"],
         F.col("source"), F.col("pos"), F.col("record_id"), k=k, name="_n",
@@ -164,8 +163,6 @@ def by_agreement(page: DataFrame) -> DataFrame:
 
     ``page`` is (page, pos, id, mean, selected); pages hold one batch each.
     """
-    from pyspark.sql import Window
-
     agree = F.col("selected") == (F.col("mean") > 0.5)
     tagged = page.withColumn("agree", agree)
     whole = Window.partitionBy("page")
