@@ -71,9 +71,9 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         """SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS discogs_id, p_brand AS artist, p_name AS title,
         CASE WHEN p_size % 2 = 0 THEN 'Vinyl, LP' ELSE 'CD' END AS format, p_brand AS label,
         [p_type] AS genres, string_split(p_name, ' ') AS styles, 1950 + p_size AS year,
-        CASE p_partkey % 3 WHEN 0 THEN '<Price ' || round(p_retailprice / 50, 2) || ' ''USD''>'
-             WHEN 1 THEN round(p_retailprice / 50, 2) || ', USD'
-             ELSE CAST(round(p_retailprice / 50, 2) AS VARCHAR) END AS suggested_price,
+        CASE p_partkey % 3 WHEN 0 THEN '<Price ' || (floor(p_retailprice * 2) / 100) || ' ''USD''>'
+             WHEN 1 THEN (floor(p_retailprice * 2) / 100) || ', USD'
+             ELSE CAST(floor(p_retailprice * 2) / 100 AS VARCHAR) END AS suggested_price,
         (p_partkey * 7919) % 500 AS wants, (p_partkey * 104729) % 400 AS haves,
         p_partkey % 3 <> 0 AS evaluated, p_partkey % 3 <> 0 AND p_partkey % 5 = 0 AS wanted
         FROM part""",
@@ -88,7 +88,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "listings": (
         """SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS listing_id,
         l_suppkey AS seller_id, l_partkey AS record_id,
-        round(l_extendedprice / l_quantity / 100, 2) || ', ' || s.currency AS record_price, """
+        (floor(l_extendedprice / l_quantity) / 100) || ', ' || s.currency AS record_price, """
         + _case("l_returnflag || l_linestatus", [(f"'{a}'", f"'{b}'") for a, b in CONDITIONS.items()])
         + """ AS media_condition, CAST(l_shipdate AS TIMESTAMP) AS listed_at
         FROM lineitem JOIN sellers s ON s.id = l_suppkey""",

@@ -76,10 +76,10 @@ def tfidf_vectors(docs: DataFrame, terms: DataFrame, max_features: int = 1000, d
     )
 
 
-def long_form(vectors: DataFrame, terms: DataFrame) -> DataFrame:
+def long_form(vectors: DataFrame, terms: DataFrame, max_features: int = 1000) -> DataFrame:
     """One row per (id, term, weight)."""
     flat = vectors.select("id", F.explode(F.arrays_zip("idx", "weight")).alias("e")).select("id", "e.idx", "e.weight")
-    return flat.join(F.broadcast(terms.select("idx", "term")), "idx").select("id", "term", "weight")
+    return flat.join(vocabulary_side(terms.select("idx", "term"), max_features), "idx").select("id", "term", "weight")
 
 
 def distinctive_terms(terms: DataFrame, n: int = 20) -> DataFrame:

@@ -76,6 +76,6 @@ def title_training_matrix(listings: DataFrame, stop_words: list[str], max_featur
     words = F.regexp_extract_all(F.lower("title"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     docs = listings.select("id", F.filter(words, lambda w: ~w.isin(*stop_words)).alias("tokens"))
     terms = stable(fit_tfidf(docs, max_features, min_df=1, max_df=1.0, distinct=False))
-    flat = long_form(tfidf_vectors(docs, terms, max_features, distinct=False), terms)
+    flat = long_form(tfidf_vectors(docs, terms, max_features, distinct=False), terms, max_features)
     known = listings.select("id", F.col("price").try_cast("double").alias("price"), "label")
     return flat.join(known, "id")

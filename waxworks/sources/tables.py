@@ -72,7 +72,7 @@ class Catalogue:
     @cached_property
     def records(self) -> DataFrame:
         key = F.col("p_partkey")
-        price = F.round(F.col("p_retailprice") / 50, 2).cast("string")
+        price = (F.floor(F.col("p_retailprice") * 2) / 100).cast("string")
         evaluated = key % 3 != 0
         return self.table("part").select(
             key.alias("id"),
@@ -106,7 +106,7 @@ class Catalogue:
         flags = F.concat("l_returnflag", "l_linestatus")
         names = F.create_map(*[F.lit(x) for item in CONDITIONS.items() for x in item])
         condition = F.try_element_at(names, flags)
-        price = F.round(F.col("l_extendedprice") / F.col("l_quantity") / 100, 2).cast("string")
+        price = (F.floor(F.col("l_extendedprice") / F.col("l_quantity")) / 100).cast("string")
         sellers = self.sellers.select(F.col("id").alias("seller_id"), "currency")
         lines = spread(self.table("lineitem"), "l_orderkey").withColumn("seller_id", F.col("l_suppkey"))
         return lines.join(sellers, "seller_id").select(
