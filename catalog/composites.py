@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
-from functools import cache
-from pathlib import Path
-
-import pyspark
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from catalog.aggregates import LATEST_SQL, LOSSES_SQL, TRIPLET_LOSS_SQL, rounded, vector_triplets, versions
@@ -16,6 +10,7 @@ from catalog.relational import AS_OF, _ALLOWED, _ENDS
 from catalog.scalars import (
     DEMAND_SQL, RATIO_SQL, SIMILARITY_SQL, SUGGESTED_SQL, THOMPSON_SQL, YEAR_SQL, _grade_sql,
 )
+from catalog.stop_words import ENGLISH
 from waxworks.functions import text
 from waxworks.functions.money import price_edge, suggested_price
 from waxworks.operators import bandit, features, knapsack, metrics, model, prefs, registry, rows, similarity, stock, tfidf, triplets
@@ -167,16 +162,8 @@ def t5(c):
     return rounded(tfidf.distinctive_terms(tfidf.fit_tfidf(docs, 10_000)), "idf")
 
 
-@cache
-def _english() -> tuple[str, ...]:
-    """Spark's English stop words, from the list it ships."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
-
-
 def _matrix_sql() -> str:
-    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in _english())
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
     words = r"regexp_extract_all(lower(title), '[\p{L}\p{N}_]{2,}')"
     return with_views(
         "titles",
@@ -198,8 +185,7 @@ def m29(c):
         F.col("doc_id").alias("id"), "title", (F.col("doc_id") / 4).cast("string").alias("price"),
         (F.col("quality") == 1).alias("label"),
     )
-    stops = StopWordsRemover.loadDefaultStopWords("english")
-    return rounded(auctions.title_training_matrix(labelled, stops), "weight")
+    return rounded(auctions.title_training_matrix(labelled, list(ENGLISH)), "weight")
 
 
 # ---------------------------------------------------------------- features, bandit
