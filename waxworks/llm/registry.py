@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 MODULES = (
-    "quality_rules", "sharding", "exact_topk",
+    "quality_rules", "sharding", "exact_topk", "byte_bpe",
 )
 
 
