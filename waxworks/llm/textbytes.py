@@ -65,12 +65,12 @@ def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, i
         yield first, len(sizes)
 
 
-def sliced(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+def sliced(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Parts of a batch, each with the bytes of its texts and each row's start and end in them."""
     if not batch.num_rows:
         return
     buf, starts, ends = column_bytes(batch.column(text))
-    for i, j in slices(ends - starts):
+    for i, j in slices(ends - starts, limit):
         lo, hi = int(starts[i]), int(max(ends[i:j].max(), starts[i]))
         yield batch.slice(i, j - i), buf[lo:hi], starts[i:j] - lo, ends[i:j] - lo
 
