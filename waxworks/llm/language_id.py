@@ -55,18 +55,8 @@ class Pieces:
         return out
 
 
-_STEP = np.uint64(0xD1342543DE82EF95)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
-
-
-def _scale(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _STEP, np.uint64), np.full(n, _BACK, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def _plain(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _scale(len(buf) + 1)
+    up, down = tb.scales(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(tb.BYTE[buf] * up[:-1], out=sums[1:])
     return tb.mix((sums[ends] - sums[starts]) * down[starts])
@@ -83,7 +73,7 @@ def _matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _edges(pieces: Pieces, words: list[bytes]):
     """For each end position the pieces that end there: (end, length, rows, piece ids). Words are longest first."""
     matrix, sizes = _matrix(words)
-    up, down = _scale(matrix.shape[1] + 1)
+    up, down = tb.scales(matrix.shape[1] + 1)
     sums = np.zeros((len(words), matrix.shape[1] + 1), np.uint64)
     np.cumsum(tb.BYTE[matrix] * up[:-1], axis=1, out=sums[:, 1:])
     sums = np.ascontiguousarray(sums.T)

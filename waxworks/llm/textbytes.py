@@ -26,6 +26,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def scales(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number, and of its inverse, modulo 2**64."""
+    up, down = _powers(max(4 * SLICE_BYTES, n))
+    return up[:n], down[:n]
+
+
 #: A random 64-bit value for each byte.
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
