@@ -115,7 +115,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "to
         model = _train(group["text"].tolist(), group["y"].to_numpy())
         return pd.DataFrame({"hashes": [model["hashes"].tobytes()], "weights": [model["weights"].tobytes()], "constant": [model["constant"]]})
 
-    out = chosen.groupBy(F.lit(0)).applyInPandas(fitted, "hashes binary, weights binary, constant double").collect()
+    out = chosen.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fitted, "hashes binary, weights binary, constant double").collect()
     if not out:
         return {"hashes": np.empty(0, np.uint64), "weights": np.empty(0), "constant": 0.0}
     return {"hashes": np.frombuffer(bytes(out[0]["hashes"]), np.uint64), "weights": np.frombuffer(bytes(out[0]["weights"])), "constant": out[0]["constant"]}
