@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 MODULES = (
-    "quality_rules", "sharding", "exact_topk", "byte_bpe", "language_id", "toxicity", "chat_format", "suffix_dedup", "jaccard_join",
+    "quality_rules", "sharding", "exact_topk", "byte_bpe", "language_id", "toxicity", "chat_format", "suffix_dedup", "jaccard_join", "packing",
 )
 
 
