@@ -45,7 +45,7 @@ def texts():
 
 
 def run(spark, rows, schema="doc_id long, text string"):
-    return sd.suffix_dedup(spark.createDataFrame(rows, schema), digest=True).collect()
+    return sd.suffix_dedup(spark.createDataFrame(rows, schema), form="digest").collect()
 
 
 @pytest.mark.parametrize("piece", [sd._PIECE, 700])
@@ -109,3 +109,11 @@ def test_spans_and_bytes(spark):
     by = {r["doc_id"]: r for r in got}
     assert bytes(by[1]["kept"]).decode() == a[: by[1]["spans"][0]["start"]] + a[by[1]["spans"][0]["end"] :]
     assert bytes(by[2]["kept"]) == b""
+
+
+def test_texts_stay_whole(spark):
+    a = "é" * 99 + "x" + "é" * 99 + "".join(chr(224 + i * i % 26) for i in range(200))
+    rows = [(1, a, "en", "s", 5), (2, "q" + a[1:], "en", "s", 5), (3, None, None, None, None)]
+    got = {r["doc_id"]: r for r in sd.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert list(got[1].asDict()) == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert got[3]["text"] == "" and got[1]["text"] in a and got[1]["n_chars"] == len(got[1]["text"]) < 10

@@ -239,7 +239,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _merged(locs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _merged(locs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs that the windows cover."""
     starts = locs & _START
     ends = starts + ((locs >> 40) & 0xFF) - 1 + WINDOW
@@ -251,36 +251,54 @@ def _merged(locs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], ends[np.append(first[1:], len(ends)) - 1]
 
 
-def _cutter(names: list[str], digest: bool):
+def _whole(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs without the code points of which they have a part only."""
+    inner = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    runs = []
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        while a < b and inner(a):
+            a += 1
+        while b > a and inner(b):
+            b -= 1
+        if b > a:
+            runs.append((a, b))
+    runs = np.array(runs, np.int64).reshape(-1, 2)
+    return runs[:, 0], runs[:, 1]
+
+
+def _cutter(names: list[str], form: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sizes, removed, spans, kept = [], [], [], []
             for text, locs in zip(batch.column("text"), batch.column("locs")):
                 raw = expand(text.as_buffer())
-                starts, ends = _merged(locs.values.to_numpy(), len(raw)) if locs.is_valid else (np.empty(0, np.int64),) * 2
+                starts, ends = _merged(locs.values.to_numpy()) if locs.is_valid else (np.empty(0, np.int64),) * 2
+                if form == "text":
+                    starts, ends = _whole(raw, starts, ends)
                 edges = [0, *np.stack([starts, ends], axis=1).ravel().tolist(), len(raw)]
                 rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 sizes.append(len(raw))
                 removed.append(len(raw) - len(rest))
                 spans.append(list(zip(starts.tolist(), ends.tolist())))
-                kept.append(hashlib.sha256(rest).hexdigest() if digest else rest)
+                kept.append(hashlib.sha256(rest).hexdigest() if form == "digest" else rest)
+            kind = pa.binary() if form == "bytes" else pa.string()
             pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             rows = [[{"start": a, "end": b} for a, b in x] for x in spans]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(rows, pairs), pa.array(kept, pa.string() if digest else pa.binary())],
+                [*(batch.column(n) for n in names), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(rows, pairs), pa.array(kept, pa.binary()).cast(kind) if form == "text" else pa.array(kept, kind)],
                 names=[*names, "n_bytes", "n_removed", "spans", "kept"],
             )
 
     return cut
 
 
-def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", form: str = "bytes") -> DataFrame:
     """Replace ``text`` by n_bytes, n_removed, spans (start, end in bytes) and kept (the bytes that are left).
 
     Every byte that lies in a 200-byte string which also starts anywhere else, in the same text or in
-    another, is removed; strings are judged on the input. With ``digest`` kept is the hex sha256 of the
-    bytes that are left.
+    another, is removed; strings are judged on the input. In the form ``digest`` kept is the hex sha256 of
+    those bytes, in the form ``text`` a string: code points that would lose a part of their bytes stay.
 
     Texts become suffixes at content-chosen places (``suffixes``), which are range-partitioned by their
     leading tokens, sorted in buckets and compared across boundaries. Where neighbours agree in all
@@ -306,14 +324,20 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", digest:
     spans = place(first.filter(F.col("kind") == SPAN).union(second.filter(F.col("kind") == SPAN)))
     whole = packed.select("d", "h", "text", *keep).mapInArrow(_compressed, fields)
     out = whole.join(spans, ["d", "h"], "left")
-    tail = "n_bytes long, n_removed long, spans array<struct<start: bigint, end: bigint>>, kept " + ("string" if digest else "binary")
+    tail = "n_bytes long, n_removed long, spans array<struct<start: bigint, end: bigint>>, kept " + ("binary" if form == "bytes" else "string")
     head = ", ".join(f"`{n}` {packed.schema[n].dataType.simpleString()}" for n in keep)
-    out = out.mapInArrow(_cutter(list(keep), digest), f"{head}, {tail}" if head else tail)
+    out = out.mapInArrow(_cutter(list(keep), form), f"{head}, {tail}" if head else tail)
     return out.select(*[F.col(n).alias(c) for n, c in keep.items()], *new)
 
 
+def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """A documents table with the repeated strings cut out of its texts, and their number of characters."""
+    out = suffix_dedup(df, key, text, "text").withColumn(text, F.col("kept")).withColumn(chars, F.length("kept").cast("bigint"))
+    return out.select(*df.columns)
+
+
 @query("op3_suffix_dedup")
 def op3(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = suffix_dedup(docs, digest=True)
+    out = suffix_dedup(docs, form="digest")
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.col("kept").alias("kept_sha256"))
