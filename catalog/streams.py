@@ -11,11 +11,12 @@ from waxworks.streaming import feedback as fb
 
 
 def _feed(c, base):
-    """The feedback as a stream of files."""
-    rows = c.feedback_batches.select(
-        F.lit("keeper").alias("model"), "batch_number", "instance_id", "record_id", "predicted_prob", "uncertainty", "actual"
+    """The feedback as a stream of files; the rows of a batch are spread over several files."""
+    sizes = c.feedback_batches.groupBy("batch_number").agg(F.count("*").alias("batch_size"))
+    rows = c.feedback_batches.join(sizes, "batch_number").select(
+        F.lit("keeper").alias("model"), "batch_number", "batch_size", "instance_id", "record_id", "predicted_prob", "uncertainty", "actual"
     )
-    rows.repartitionByRange(8, "batch_number").write.parquet(f"{base}/feed")
+    rows.repartition(8, "instance_id").write.parquet(f"{base}/feed")
     return c.spark.readStream.schema(fb.FEED).option("maxFilesPerTrigger", 4).parquet(f"{base}/feed")
 
 
@@ -30,7 +31,7 @@ def _feed(c, base):
 def r1(c):
     base = scratch_path(c.spark, "buffered")
     fb.run_buffered(_feed(c, base), f"{base}/out", f"{base}/checkpoint")
-    return c.spark.read.parquet(f"{base}/out").drop("uncertainty")
+    return c.spark.read.parquet(f"{base}/out").filter("not late").drop("uncertainty", "batch_size", "late")
 
 
 @query(

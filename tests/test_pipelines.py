@@ -155,7 +155,7 @@ def test_pick_of_the_day_is_among_the_best(spark):
 
 
 def _feed_rows(spark, batches):
-    rows = [("m", b, b * 3 + i, i, 0.5 + i / 10, 0.1, i == 2) for b in batches for i in range(3)]
+    rows = [("m", b, 3, b * 3 + i, i, 0.5 + i / 10, 0.1, i == 2) for b in batches for i in range(3)]
     return spark.createDataFrame(rows, fb.FEED)
 
 
@@ -171,6 +171,23 @@ def test_buffers_wait_and_survive_a_restart(spark, tmp_path):
     assert got.count() == 15 and got.select("buffer").distinct().collect() == [(0,)]
 
 
+def test_a_batch_in_three_parts_is_not_lost(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    rows = _feed_rows(spark, range(5)).collect()
+    for part in (rows[:13], rows[12:14], rows[3:5], rows[14:], rows[:1]):  # with repeats, the last after all
+        spark.createDataFrame(part, fb.FEED).coalesce(1).write.mode("append").parquet(src)
+        fb.run_buffered(spark.readStream.schema(fb.FEED).parquet(src), out, state)
+    got = spark.read.parquet(out).collect()
+    assert sorted(r["instance_id"] for r in got if not r["late"]) == list(range(15))
+    assert [r["instance_id"] for r in got if r["late"]] == [0]
+
+
+def test_split_prices_keeps_rejects_without_an_id(spark):
+    listings = spark.createDataFrame([("a", "5.00, USD"), (None, "bad"), ("b", "bad"), (None, "1.00, EUR")], "listing_id string, record_price string")
+    good, bad = intake.split_prices(listings)
+    assert good.count() == 2 and sorted(str(r["listing_id"]) for r in bad.collect()) == ["None", "b"]
+
+
 def test_streaming_accuracy_equals_batch(spark, tmp_path):
     from waxworks.operators.metrics import batch_performance
 

@@ -92,21 +92,23 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w, b
 
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from rows whose label is 0 or 1. At most ``SAMPLE_ROWS`` rows of each label are used.
-
-    N-grams of 3 to 7 bytes of the lower-cased text count once per text. The most telling ones are kept;
-    the column of each is multiplied by its log-count ratio, and a logistic model is fitted on those. The
-    model has a bounded size. Without rows of both labels every score is that of a coin.
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """A model from the rows of ``df`` whose key has a label of 0 or 1 in ``labels``.
+
+    At most ``SAMPLE_ROWS`` rows of each label are used; they are chosen among keys and labels alone, and
+    only their texts leave the tasks that read them. N-grams of 3 to 7 bytes of the lower-cased text count
+    once per text. The most telling ones are kept; the column of each is multiplied by its log-count
+    ratio, and a logistic model is fitted on those. The model has a bounded size. Without rows of both
+    labels every score is that of a coin.
     """
-    rows = df.filter(df[label].isin(0, 1)).select(
-        df[label].cast("int").alias("y"), F.xxhash64(df[key].cast("string"), F.lit("sample")).alias("draw"), F.coalesce(F.lower(df[text]), F.lit("")).alias("text"),
-    )
-    by = Window.partitionBy("y").orderBy("draw")
-    upto = rows.select("y", "draw").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= SAMPLE_ROWS)
-    upto = upto.groupBy("y").agg(F.max("draw").alias("upto"))
-    chosen = rows.join(F.broadcast(upto), "y").filter("draw <= upto")  # two rows
-    chosen = chosen.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= SAMPLE_ROWS)
+    known = labels.filter(labels[label].isin(0, 1)).select(labels[key].alias("key"), labels[label].cast("int").alias("y"))
+    known = known.join(df.select(df[key].alias("key")), "key").withColumn("draw", F.xxhash64(F.col("key").cast("string"), F.lit("sample")))
+    by = Window.partitionBy("y").orderBy("draw", "key")
+    chosen = known.distinct().withColumn("n", F.row_number().over(by)).filter(F.col("n") <= SAMPLE_ROWS)
+    texts = df.select(df[key].alias("key"), F.coalesce(F.lower(df[text]), F.lit("")).alias("text"))
+    # Two times SAMPLE_ROWS keys; a key of several rows still gives no more rows than that.
+    chosen = texts.join(F.broadcast(chosen.select("key", "y", "draw")), "key")
+    chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("draw", "key", "text"))).filter(F.col("n") <= SAMPLE_ROWS)
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["y", "n"])
@@ -176,5 +178,5 @@ def _held_out(key: Column) -> Column:
 def op2(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    labelled = docs.join(labels.filter(~_held_out(F.col("doc_id"))), "doc_id")
-    return toxicity(docs.withColumn("held_out", _held_out(F.col("doc_id"))), fit(labelled)).drop("text")
+    known = labels.filter(~_held_out(F.col("doc_id")))
+    return toxicity(docs.withColumn("held_out", _held_out(F.col("doc_id"))), fit(docs, known)).drop("text")

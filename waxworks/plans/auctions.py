@@ -15,7 +15,7 @@ from waxworks.session import stable
 SHORTLIST, STAGE_ONE, ENRICHED = 1000, 500, 200
 
 
-def auction_shortlist(items: DataFrame, keepers: DataFrame, as_of: Column, n: int = SHORTLIST, seed=0) -> DataFrame:
+def auction_shortlist(items: DataFrame, keepers: DataFrame, as_of: Column, n: int = SHORTLIST, seed=0, digits: int | None = None) -> DataFrame:
     """Auctions ending a day from now that read most like a keeper, in random order.
 
     ``items`` is (ebay_id, title, price, bid, bid_count, end_date), ``keepers`` is (id, title).
@@ -25,7 +25,7 @@ def auction_shortlist(items: DataFrame, keepers: DataFrame, as_of: Column, n: in
         F.col("ebay_id").alias("id"), "title", F.coalesce("price", F.lit("")).alias("price"),
         current_bid(F.col("bid"), F.col("price")).alias("current_bid"), "bid_count", "end_date",
     )
-    top = similarity_filter(priced.select("id", "title"), keepers, n, seed)
+    top = similarity_filter(priced.select("id", "title"), keepers, n, seed, digits=digits)
     return top.join(priced, "id").withColumnRenamed("id", "ebay_id")
 
 

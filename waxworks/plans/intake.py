@@ -24,12 +24,9 @@ class Intake(NamedTuple):
 
 def split_prices(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Listings with price and currency taken apart, and those whose text does not allow it."""
-    parsed = listings.withColumns(
-        {"price": price_amount(F.col("record_price")), "currency": price_currency(F.col("record_price"))}
-    )
-    return parsed.filter(F.col("price").isNotNull()), listings.join(
-        parsed.filter(F.col("price").isNull()).select("listing_id"), "listing_id", "left_semi"
-    )
+    amount = price_amount(F.col("record_price"))
+    good = listings.filter(amount.isNotNull()).withColumns({"price": amount, "currency": price_currency(F.col("record_price"))})
+    return good, listings.filter(amount.isNull())
 
 
 def ingest(incoming: DataFrame, sellers: DataFrame, records: DataFrame, listings: DataFrame, keep_copies: bool) -> Intake:

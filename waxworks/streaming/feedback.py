@@ -17,31 +17,38 @@ from waxworks.operators.threshold import optimal_threshold
 # Batches that are collected before the model is updated.
 BUFFER = 5
 
-FEED = "model string, batch_number bigint, instance_id bigint, record_id bigint, predicted_prob double, uncertainty double, actual boolean"
+FEED = "model string, batch_number bigint, batch_size bigint, instance_id bigint, record_id bigint, predicted_prob double, uncertainty double, actual boolean"
 
 
 def buffered_groups(feed: DataFrame, size: int = BUFFER) -> DataFrame:
-    """Whole buffers of ``size`` batches, each emitted once its last batch is in.
-
-    ``feed`` is a stream in the FEED schema. Buffers are numbered by batch number, so what belongs
-    together does not depend on the order of arrival, and buffers fill in parallel instead of one
-    after the other under a single key. State holds at most one buffer and is dropped once emitted.
+    """Whole buffers of ``size`` batches, each emitted once all rows of its batches are in.
+
+    ``feed`` is a stream in the FEED schema; ``batch_size`` announces how many instances the row's batch
+    has, so a batch may come in any number of parts and orders. A buffer is whole when it has ``size``
+    batches and each has its announced number of instances. An instance that is delivered again counts
+    once. Buffers are numbered by batch number, so they fill in parallel instead of one after the other
+    under a single key. State holds at most one buffer, and of an emitted one only that it is done: rows
+    that come later are put out at once with ``late`` set.
     """
-    schema = "model string, buffer bigint, batch_number bigint, instance_id bigint, record_id bigint, predicted_prob double, uncertainty double, actual boolean"
-    names = [f.split()[0] for f in schema.split(", ")][2:]
-    state_schema = ", ".join(f"{n} array<{t}>" for n, t in (f.split() for f in schema.split(", ")[2:]))
+    fields = "batch_number bigint, batch_size bigint, instance_id bigint, record_id bigint, predicted_prob double, uncertainty double, actual boolean"
+    names = [f.split()[0] for f in fields.split(", ")]
+    schema = f"model string, buffer bigint, {fields}, late boolean"
+    state_schema = "done boolean, " + ", ".join(f"{n} array<{t}>" for n, t in (f.split() for f in fields.split(", ")))
 
     def collect(key, parts, state: GroupState):
-        held = [pd.DataFrame(dict(zip(names, state.get)))] if state.exists else []
-        rows = pd.concat([*held, *[p[names] for p in parts]], ignore_index=True)
-        if rows["batch_number"].nunique() < size:
-            state.update(tuple(rows[n].tolist() for n in names))
-            return
-        if state.exists:
-            state.remove()
-        rows.insert(0, "buffer", key[1])
-        rows.insert(0, "model", key[0])
-        yield rows
+        done, *held = state.get if state.exists else (False, *[[] for _ in names])
+        new = [p[names] for p in parts]
+        old = [pd.DataFrame(dict(zip(names, held)))] if len(held[0]) else []
+        rows = pd.concat([*old, *new], ignore_index=True)
+        if not done:
+            rows = rows.drop_duplicates(["batch_number", "instance_id"])
+            batches = rows.groupby("batch_number")["batch_size"].agg(["max", "size"])
+            if len(batches) < size or (batches["size"] < batches["max"]).any():
+                state.update((False, *[rows[n].tolist() for n in names]))
+                return
+        state.update((True, *[[] for _ in names]))
+        rows = rows.assign(model=key[0], buffer=key[1], late=done)
+        yield rows[["model", "buffer", *names, "late"]]
 
     keyed = feed.withColumn("buffer", F.floor(F.col("batch_number") / size).cast("bigint"))
     return keyed.groupBy("model", "buffer").applyInPandasWithState(
@@ -69,7 +76,7 @@ def on_buffer(model: KeeperModel, buffer: DataFrame, designed: DataFrame, instan
 
 
 def run_buffered(feed: DataFrame, out: str, checkpoint: str) -> None:
-    """Drain the feed and append whole buffers to ``out``; a restart goes on from the saved state."""
+    """Drain the feed and append whole buffers, and late rows, to ``out``; a restart goes on from the saved state."""
     query = (
         buffered_groups(feed).writeStream.format("parquet").outputMode("append")
         .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
