@@ -221,33 +221,53 @@ def _features_sql(select: str) -> str:
             "cond": _CONDITIONED,
             "num": f"SELECT *, {RATIO_SQL} AS ratio, {_PRICE} AS price, {_grade_sql('media_condition')} AS g FROM cond",
             "feat": f"SELECT id, {slots}, {scaled}, round({year}, 6) AS year_n, {grades} FROM num",
+            "d": f"SELECT id, {tokens_sql(mock_sql())} AS tokens FROM cond WHERE len({tokens_sql(mock_sql())}) > 0",
+            "terms": terms_sql("d", 1000),
+            "v": vectors_sql("d"),
+            "places": "SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM terms",
+            "block": """SELECT id, count(*) AS k, string_agg(idx, ',' ORDER BY idx) AS places, sum(weight) AS w, sum(weight * (idx + 22)) AS s
+            FROM v JOIN places USING (term) GROUP BY id""",
         },
     )
 
 
 def _featured(c):
     base = _conditioned(c)
-    return features.transform_features(base, features.fit_features(base))
+    return features.with_titles(features.transform_features(base, features.fit_features(base)), features.fit_titles(base))
 
 
-@query("m1_record_features", _features_sql("SELECT * FROM feat"))
+def _added(column):
+    return F.aggregate(column, F.lit(0.0), lambda a, v: a + v)
+
+
+@query(
+    "m1_record_features",
+    _features_sql(
+        """SELECT feat.*, coalesce(k, 0)::INT AS title_terms, coalesce(places, '') AS title_places, round(coalesce(w, 0.0), 6) AS title_weight
+        FROM feat LEFT JOIN block USING (id)"""
+    ),
+)
 def m1(c):
-    return rounded(_featured(c), *features.NUMBER_COLUMNS).select("id", *features.DENSE_COLUMNS)
+    return rounded(_featured(c), *features.NUMBER_COLUMNS).select(
+        "id", *features.DENSE_COLUMNS, F.size("title_idx").alias("title_terms"),
+        F.array_join(F.col("title_idx").cast("array<string>"), ",").alias("title_places"), F.round(_added(F.col("title_weight")), 6).alias("title_weight"),
+    )
 
 
 @query(
     "f32_feature_vector",
     _features_sql(
-        "SELECT id, CAST(21 AS INT) AS n, round(list_sum(["
+        "SELECT id, CAST(21 + coalesce(k, 0) AS INT) AS n, round(list_sum(["
         + ", ".join(f"{n}::DOUBLE * {i + 1}" for i, n in enumerate(features.DENSE_COLUMNS))
-        + "]), 3) AS checksum FROM feat"
+        + "]) + coalesce(s, 0.0), 3) AS checksum FROM feat LEFT JOIN block USING (id)"
     ),
 )
 def f32(c):
     vector = features.with_vector(rounded(_featured(c), *features.NUMBER_COLUMNS))
     weighted = F.transform("features", lambda v, i: v * (i + 1))
+    titled = F.zip_with("title_idx", "title_weight", lambda i, w: w * (i + 22))  # the title block follows the 21 dense ones
     return vector.select(
-        "id", F.size("features").alias("n"), F.round(F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v), 3).alias("checksum")
+        "id", (F.size("features") + F.size("title_idx")).alias("n"), F.round(_added(weighted) + _added(titled), 3).alias("checksum")
     )
 
 
@@ -368,8 +388,7 @@ _BEST20 = """SELECT listing_id FROM (SELECT *, row_number() OVER (PARTITION BY s
 )
 def t4(c):
     scored = _scored(c)
-    chosen = top_k_per_group(scored, ["seller_id"], F.col("score").desc(), F.col("listing_id"), k=20)
-    return rounded(stock.contenders(scored, chosen), "score").select("seller_id", "listing_id", "score", "place")
+    return rounded(stock.next_best(scored, skip=20), "score").select("seller_id", "listing_id", "score", "place")
 
 
 # ---------------------------------------------------------------- preferences

@@ -1,4 +1,4 @@
-"""Record features: fitted ranges, hashed categories, scaled numbers."""
+"""Record features: fitted ranges, hashed categories, scaled numbers, and the terms of the title."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from waxworks.functions.money import parse_price
 from waxworks.functions.numeric import (
     VOCABULARY, grade_index, grade_one_hot, hash_index, hash_slots, min_max, scale_year, want_ratio,
 )
+from waxworks.functions.text import raw_title, title_words
+from waxworks.operators.tfidf import fit_tfidf, tfidf_vectors, usable
 
 CONDITION_COLUMNS = (
     "is_poor", "is_fair", "is_good", "is_good_plus",
@@ -18,6 +20,9 @@ CATEGORY_COLUMNS = ("artist_idx", "label_idx", "genre_1", "genre_2", "genre_3",
 NUMBER_COLUMNS = ("wants_n", "haves_n", "ratio_n", "price_n", "year_n")
 DENSE_COLUMNS = CATEGORY_COLUMNS + NUMBER_COLUMNS + CONDITION_COLUMNS
 
+# Terms of the title block.
+TITLE_TERMS = 1000
+
 # Year range when no record has a year.
 DEFAULT_YEARS = (1950, 2025)
 
@@ -65,6 +70,33 @@ def transform_features(df: DataFrame, fitted: DataFrame) -> DataFrame:
     return wide.select(*df.columns, *[v.alias(n) for n, v in zip(DENSE_COLUMNS, values)])
 
 
+def title_documents(df: DataFrame, auction_title: str | None = None) -> DataFrame:
+    """(id, tokens) of each record's title: made from artist, title, label and year, or an auction's own.
+
+    Where the column ``auction_title`` has a text, that is the title; records without one have theirs made.
+    """
+    made = raw_title(*[F.col(n) for n in ("artist", "title", "label", "year")])
+    title = made if auction_title is None else F.coalesce(F.nullif(F.col(auction_title), F.lit("")), made)
+    return df.select("id", usable(title_words(title)).alias("tokens"))
+
+
+def fit_titles(df: DataFrame, max_features: int = TITLE_TERMS) -> DataFrame:
+    """The vocabulary of the records' titles."""
+    return fit_tfidf(title_documents(df), max_features)
+
+
+def with_titles(df: DataFrame, terms: DataFrame, auction_title: str | None = None, max_features: int = TITLE_TERMS) -> DataFrame:
+    """Add the title block: ``title_idx`` (places in the vocabulary, in order) and ``title_weight`` (unit length).
+
+    The block is sparse; a title without known terms has empty arrays.
+    """
+    vectors = tfidf_vectors(title_documents(df, auction_title), terms, max_features)
+    vectors = vectors.select("id", F.col("idx").alias("title_idx"), F.col("weight").alias("title_weight"))
+    joined = df.join(vectors, "id", "left")
+    none = {"title_idx": "array<int>", "title_weight": "array<double>"}
+    return joined.withColumns({n: F.coalesce(F.col(n), F.array().cast(t)) for n, t in none.items()})
+
+
 def with_vector(df: DataFrame) -> DataFrame:
     """Add ``features``, the dense features as one array."""
     return df.withColumn("features", F.array(*[F.col(n).cast("double") for n in DENSE_COLUMNS]))

@@ -33,7 +33,8 @@ def score_listings(listings: DataFrame, records: DataFrame, rates: DataFrame, we
 
     ``listings`` is (listing_id, seller_id, record_id, record_price, media_condition); ``records`` is
     (record_id, wants, haves, suggested_price, model_score). Only good grades count. Demand and price
-    edge are measured against the seller's best. Two scans, and the listings are never shuffled.
+    edge are measured against the seller's best. The maxima are a first job over the priced listings, the
+    scores a second; beyond the broadcast limit both shuffle the listings to the records.
     """
     priced = with_usd(allowed_conditions(listings), rates).filter(F.col("usd").isNotNull())
     wide = priced.join(records, "record_id")
@@ -63,3 +64,9 @@ def contenders(scored: DataFrame, selected: DataFrame, k: int = CONTENDERS) -> D
     """The best ``k`` listings of each seller that were not selected."""
     rest = scored.join(selected.select("listing_id"), "listing_id", "left_anti")
     return top_k_per_group(rest, ["seller_id"], F.col("score").desc(), F.col("listing_id"), k=k, name="place")
+
+
+def next_best(scored: DataFrame, skip: int, k: int = CONTENDERS) -> DataFrame:
+    """As :func:`contenders`, where the selected are each seller's best ``skip``: one ranking, no join."""
+    ranked = top_k_per_group(scored, ["seller_id"], F.col("score").desc(), F.col("listing_id"), k=skip + k, name="place")
+    return ranked.filter(F.col("place") > skip).withColumn("place", F.col("place") - skip)

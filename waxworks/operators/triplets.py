@@ -15,6 +15,7 @@ from waxworks.operators.ordering import group_rank, row_index
 PROFILE = ("genres", "styles", "label", "year")
 MIN_HISTORY = 10
 MAX_ANCHORS = 10_000
+ID_RANGES = 1024  # into which the ids of the score at the cut are counted
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -67,18 +68,27 @@ def _levels(scored: DataFrame, *extra: Column) -> DataFrame:
 def hard_pool(scored: DataFrame) -> DataFrame:
     """The most similar fifth of the negatives of each slot, by (score, id).
 
-    A histogram of the scores tells where the cut falls. Rows above it need no ranking at all; only
-    the rows of the one score that straddles the cut are ranked by id.
+    A histogram of the scores tells at which score the cut falls, and a count over ranges of ids in which
+    range of that score. Rows above need no ranking at all; only the rows of that range are ranked by id,
+    so the product is read three times, but never sorted or stored.
     """
+    whole_ids = dict(scored.dtypes)["id"] in ("bigint", "int")
     cut = (
-        _levels(scored)
+        _levels(scored, F.min("id").alias("lo"), F.max("id").alias("hi"))
         .filter((F.col("above") < F.col("pool")) & (F.col("above") + F.col("n") >= F.col("pool")))
-        .select("slot", F.col("score").alias("_cut"), (F.col("pool") - F.col("above")).alias("_room"))
+        .select("slot", F.col("score").alias("_cut"), (F.col("pool") - F.col("above")).alias("_room"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     )
+    share = (F.col("id") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1).cast("double") if whole_ids else F.lit(0.0)
     near = join_checked(scored, cut, ["slot"]).filter(F.col("score") >= F.col("_cut"))
-    sure = near.filter(F.col("score") > F.col("_cut")).select("slot", "id", "score")
-    edge = near.filter(F.col("score") == F.col("_cut"))
-    ranked = group_rank(edge, ["slot"], F.col("id"), name="_r").filter(F.col("_r") <= F.col("_room"))
+    near = near.withColumn("_range", F.when(F.col("score") > F.col("_cut"), -1).otherwise(F.floor(share * ID_RANGES).cast("int")))
+    so_far = Window.partitionBy("slot").orderBy("_range")  # at most ID_RANGES rows
+    counts = near.filter("_range >= 0").groupBy("slot", "_range").agg(F.count("*").alias("_n"), F.first("_room").alias("_room"))
+    last = counts.withColumn("_upto", F.sum("_n").over(so_far)).filter("_upto >= _room and _upto - _n < _room")
+    last = last.select("slot", F.col("_range").alias("_last"), (F.col("_room") - F.col("_upto") + F.col("_n")).alias("_left"))
+    placed = join_checked(near, last, ["slot"])
+    sure = placed.filter(F.col("_range") < F.col("_last")).select("slot", "id", "score")
+    edge = placed.filter(F.col("_range") == F.col("_last")).select("slot", "id", "score", "_left")
+    ranked = group_rank(edge, ["slot"], F.col("id"), name="_r").filter(F.col("_r") <= F.col("_left"))
     return sure.unionByName(ranked.select("slot", "id", "score"))
 
 
