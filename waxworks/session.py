@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local_base: str | None = None
+_local_base: tempfile.TemporaryDirectory | None = None  # goes when the process ends
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -24,8 +24,8 @@ def shared_base(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_SETTING} to a folder that every executor can reach")
     if _local_base is None:
-        _local_base = tempfile.mkdtemp(prefix="waxworks-")
-    return _local_base
+        _local_base = tempfile.TemporaryDirectory(prefix="waxworks-", ignore_cleanup_errors=True)
+    return _local_base.name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
