@@ -9,30 +9,37 @@ from waxworks.operators.stock import DEFAULT_WEIGHTS
 
 AXES = tuple(DEFAULT_WEIGHTS)
 STEP = 0.1
+PAGE = 10  # items that are ranked against each other
 
 
-def usable_rankings(rankings: DataFrame) -> DataFrame:
-    """Sessions with at least two items, all of them known."""
+def usable_rankings(rankings: DataFrame, page: int = PAGE) -> DataFrame:
+    """Pages of sessions with at least two items, all of them known.
+
+    A session longer than ``page`` is cut by position into pages, so that one of any length has at most
+    ``page`` partners for an item.
+    """
     whole = F.lit(True)
     for axis in AXES:
         whole = whole & F.col(axis).isNotNull()
-    good = rankings.groupBy("session_id").agg(
+    paged = rankings.withColumn("_page", F.floor(F.col("pos") / page).cast("bigint"))
+    good = paged.groupBy("session_id", "_page").agg(
         F.count("*").alias("_n"), F.min(whole.cast("int")).alias("_known")
     ).filter((F.col("_n") >= 2) & (F.col("_known") == 1))
-    return rankings.join(good.select("session_id", "_n"), "session_id")
+    return paged.join(good.select("session_id", "_page", "_n"), ["session_id", "_page"])
 
 
 def violations(rankings: DataFrame, weights: dict[str, float] = DEFAULT_WEIGHTS) -> DataFrame:
     """Pairs of a ranking whose scores contradict their order, with the difference on each axis.
 
-    ``rankings`` is (session_id, pos, embedding, price_diff, demand). A ranking is a page of ten, so
-    an item meets at most nine others, and only contradicting pairs come out.
+    ``rankings`` is (session_id, pos, embedding, price_diff, demand) as :func:`usable_rankings` gives it,
+    in pages; an item meets the others of its page, and only contradicting pairs come out.
     """
     score = sum((F.lit(weights[a]) * F.col(a) for a in AXES[1:]), F.lit(weights[AXES[0]]) * F.col(AXES[0]))
-    scored = rankings.select("session_id", "pos", *AXES, score.alias("score"))
+    scored = rankings.select("session_id", "_page", "pos", *AXES, score.alias("score"))
     left, right = scored.alias("i"), scored.alias("j")
     against = (
         (F.col("i.session_id") == F.col("j.session_id"))
+        & (F.col("i._page") == F.col("j._page"))
         & (F.col("i.pos") < F.col("j.pos"))
         & (F.col("i.score") < F.col("j.score"))
     )
@@ -42,15 +49,15 @@ def violations(rankings: DataFrame, weights: dict[str, float] = DEFAULT_WEIGHTS)
     )
 
 
-def tune_weights(rankings: DataFrame, weights: dict[str, float] = DEFAULT_WEIGHTS, step: float = STEP, overall: bool = False) -> DataFrame:
+def tune_weights(rankings: DataFrame, weights: dict[str, float] = DEFAULT_WEIGHTS, step: float = STEP, overall: bool = False, page: int = PAGE) -> DataFrame:
     """Weights after one step towards each ranking, or towards all of them together.
 
     A step adds the mean difference over contradicting pairs, cuts at zero and scales to sum 1.
     Without a contradiction the weights stay.
     """
-    usable = usable_rankings(rankings)
+    usable = usable_rankings(rankings, page)
     key = [] if overall else ["session_id"]
-    sizes = usable.groupBy("session_id").agg(F.first("_n").alias("_n"))
+    sizes = usable.groupBy("session_id", "_page").agg(F.first("_n").alias("_n"))
     pairs = sizes.groupBy(*key).agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2).cast("bigint").alias("total_pairs"))
     against = violations(usable, weights).groupBy(*key).agg(
         F.count("*").alias("violations"), *[F.avg(a).alias(a) for a in AXES]
