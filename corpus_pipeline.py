@@ -7,6 +7,7 @@ from waxworks.llm.language_id import keep_known
 from waxworks.llm.packing import pack
 from waxworks.llm.quality_rules import keep_good
 from waxworks.llm.suffix_dedup import cut_repeats
+from waxworks.session import stable
 
 
 def quality(spark, docs, sf_dir):
@@ -47,7 +48,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The last stage's rows. What each other stage keeps is written once, to the shared checkpoint folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
