@@ -14,7 +14,6 @@ from waxworks.operators.ordering import group_rank, row_index
 
 PROFILE = ("genres", "styles", "label", "year")
 MIN_HISTORY = 10
-MAX_ANCHORS = 10_000
 ID_RANGES = 1024  # into which the ids of the score at the cut are counted
 
 
@@ -37,12 +36,12 @@ def score_negatives(anchors: DataFrame, negatives: DataFrame) -> DataFrame:
     """Similarity of every negative to each anchor: (slot, id, score).
 
     ``anchors`` is (slot, anchor), a short list by construction: the slots of one mining run, a
-    hundred in the reference. It is counted and then sent to the negatives, which are scored where
+    hundred in the reference. It is measured and then sent to the negatives, which are scored where
     they lie; what follows adds them up per score, so the scored rows are never shuffled. A list that
     is longer than the limit still gives the same rows, as a partitioned product.
     """
     candidates = negatives.select("id", F.struct(*PROFILE).alias("_b"))
-    short = replicated_if_small(anchors.select("slot", F.col("anchor").alias("_a")), MAX_ANCHORS)
+    short = replicated_if_small(anchors.select("slot", F.col("anchor").alias("_a")))
     return candidates.crossJoin(short).select(
         "slot", "id", similarity(F.col("_a"), F.col("_b")).alias("score")
     )
