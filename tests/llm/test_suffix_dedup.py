@@ -77,7 +77,7 @@ def test_pieces_of_a_long_text_cover_all_windows():
             seen = []
             for rows, offs, los, his in sd._pieces(np.array([0]), np.array([5000])):
                 base = int(los[0])
-                _, _, row, lo, count = sd.suffixes(buf[base : his.max()], los - base, his - base)
+                _, _, row, lo, count, _ = sd.suffixes(buf[base : his.max()], los - base, his - base)
                 for r, a, n in zip(row, lo, count):
                     seen += range(a + base - los[r] + offs[r], a + base - los[r] + offs[r] + n)
         finally:

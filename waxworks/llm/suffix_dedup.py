@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +18,17 @@ from waxworks.llm.registry import query
 from waxworks.session import stable
 
 #: Bytes of a repeated string, and of the leading token of a suffix that stands for the windows around it.
-WINDOW, GRAM = 200, 64
+WINDOW, GRAM = 200, 40
+#: Windows of a run in the second round; in the third each stands alone.
+NARROW = 8
 _PLACES = WINDOW - GRAM + 1
 _PIECE = 4 << 20  # longer texts are read in overlapping pieces; bounds memory only
 _LOW = np.uint64((1 << 24) - 1)
-_START = (1 << 40) - 1
+_START = (1 << 32) - 1
 _SMALL = 2048  # segments below this are sorted at once
 
 _SUFFIX = "t1 long, t2 long, d long, loc long"
-_FOUND = "kind int, bucket int, " + _SUFFIX
+_FOUND = "kind int, d long, loc long, edge binary"
 SPAN, OPEN, FIRST, LAST = 0, 1, 2, 3
 
 
@@ -52,9 +55,9 @@ def _pieces(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def suffixes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Leading tokens, row, first window and number of windows of each chosen suffix.
+    """Leading tokens, row, first window, number of windows and place (from the first window) of each chosen suffix.
 
-    Every window of 200 bytes chooses one place: of its 64-byte grams the one with the least hash, the
+    Every window of 200 bytes chooses one place: of its 40-byte grams the one with the least hash, the
     rightmost of equals. Equal windows choose alike, so windows can only be equal if the grams they chose
     are. A suffix starts at a chosen gram and stands for the run of windows that chose it; its tokens are
     the hash of the gram and that of all bytes of those windows.
@@ -64,7 +67,7 @@ def suffixes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     np.cumsum(tb.BYTE[buf] * up[:-1], out=sums[1:])
     n = len(buf) - WINDOW + 1
     if n <= 0:
-        return (np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
+        return (np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 4)
     gram = (sums[GRAM:] - sums[:-GRAM]) * down[: len(buf) - GRAM + 1]
     gram ^= gram >> np.uint64(29)
     gram *= np.uint64(0xBF58476D1CE4E5B9)
@@ -83,7 +86,7 @@ def suffixes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     np.subtract.at(valid, ends[long] - WINDOW + 1, 1)
     window = np.flatnonzero(np.cumsum(valid)[:n])
     if not len(window):
-        return (np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3)
+        return (np.empty(0, np.uint64), np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 4)
     at = chosen[window]
     new = np.ones(len(window), bool)
     new[1:] = (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1)
@@ -95,17 +98,34 @@ def suffixes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     t2 = tb.mix(whole + tb.mix(((place - lo) * 1024 + count).astype(np.uint64)))
     full = np.flatnonzero(long)
     row = full[np.searchsorted(starts[full], lo, "right") - 1]
-    return gram[place], t2, row, lo, count
+    return gram[place], t2, row, lo, count, place - lo
 
 
-def window_tokens(buf: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two tokens for each window: hashes of its halves."""
+def narrower(buf: np.ndarray, starts: np.ndarray, counts: np.ndarray, offs: np.ndarray, width: int):
+    """Tokens, first window, number of windows and place of the runs of at most ``width`` windows of each run.
+
+    Runs are cut at fixed distances from the chosen place, so that equal windows fall into runs that
+    correspond. The first token is the hash of the bytes that all windows of a run could have in common,
+    the second that of all bytes of its windows; for single windows, the hashes of their halves.
+    """
     up, down = tb.scales(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(tb.BYTE[buf] * up[:-1], out=sums[1:])
-    half = WINDOW // 2
-    part = lambda at: tb.mix((sums[at + half] - sums[at]) * down[at])
-    return part(windows), part(windows + half)
+    token = lambda a, b: tb.mix((sums[b] - sums[a]) * down[a])
+    least, most = (offs - counts + 1) // width, offs // width
+    n = most - least + 1
+    of = np.repeat(np.arange(len(n)), n)
+    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + least[of]
+    place = starts[of] + offs[of]
+    first = np.maximum(starts[of], place - part * width - width + 1)
+    last = np.minimum(starts[of] + counts[of] - 1, place - part * width)
+    off, count = place - first, last - first + 1
+    if width == 1:
+        return token(first, first + WINDOW // 2), token(first + WINDOW // 2, first + WINDOW), first, count, off
+    common = place - part * width
+    t1 = tb.mix(token(common, common - width + 1 + WINDOW) + part.astype(np.uint64))
+    t2 = tb.mix(token(first, last + WINDOW) + tb.mix((off * 1024 + count).astype(np.uint64)))
+    return t1, t2, first, count, off
 
 
 # ---------------------------------------------------------------- buckets
@@ -160,11 +180,12 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     turn[1:] |= same1 & ~same2
     turn[:-1] |= same1 & ~same2
     bucket = TaskContext.get().partitionId()
+    edge = {k: np.array([bucket, t1[i], t2[i]], np.int64).tobytes() for k, i in ((FIRST, 0), (LAST, len(t1) - 1))}
     for kind, rows in ((SPAN, np.flatnonzero(whole)), (OPEN, np.flatnonzero(turn)), (FIRST, np.array([0])), (LAST, np.array([len(t1) - 1]))):
         if len(rows):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(rows), kind, np.int32)), pa.array(np.full(len(rows), bucket, np.int32)), *(pa.array(x[rows]) for x in (t1, t2, d, loc))],
-                names=["kind", "bucket", "t1", "t2", "d", "loc"],
+                [pa.array(np.full(len(rows), kind, np.int32)), pa.array(d[rows]), pa.array(loc[rows]), pa.array([edge.get(kind)] * len(rows), pa.binary())],
+                names=["kind", "d", "loc", "edge"],
             )
 
 
@@ -176,12 +197,16 @@ def repeated(rows: DataFrame) -> DataFrame:
     only the two ends reach the driver, to be compared with the ends of the next.
     """
     found = stable(rows.repartitionByRange("t1", "t2", "d", "loc").mapInArrow(_bucket, _FOUND))
-    ends = found.filter(F.col("kind") >= FIRST).orderBy("bucket", "kind").collect()  # two rows a bucket
+    ends = []
+    for r in found.filter(F.col("kind") >= FIRST).collect():  # two rows a bucket
+        bucket, t1, t2 = np.frombuffer(bytes(r["edge"]), np.int64).tolist()
+        ends.append((bucket, r["kind"], t1, t2, r["d"], r["loc"]))
+    ends.sort()
     more = []
     for a, b in zip(ends, ends[1:]):
-        if a["bucket"] != b["bucket"] and a["t1"] == b["t1"]:
-            kind = SPAN if a["t2"] == b["t2"] else OPEN
-            more += [(kind, x["d"], x["loc"]) for x in (a, b)]
+        if a[0] != b[0] and a[2] == b[2]:
+            kind = SPAN if a[3] == b[3] else OPEN
+            more += [(kind, *x[4:]) for x in (a, b)]
     found = found.filter(F.col("kind") < FIRST).select("kind", "d", "loc")
     return found.union(found.sparkSession.createDataFrame(more, "kind int, d long, loc long")) if more else found
 
@@ -203,40 +228,46 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d, h = part.column("d").to_numpy(), part.column("h").to_numpy()
             for rows, offs, los, his in _pieces(starts, ends):
                 base = int(los[0])
-                t1, t2, row, lo, count = suffixes(buf[base : int(his.max())], los - base, his - base)
+                t1, t2, row, lo, count, off = suffixes(buf[base : int(his.max())], los - base, his - base)
                 if len(t1):
                     start = lo + base - los[row] + offs[row]
-                    loc = (h[rows[row]] << 48) | (count << 40) | start
+                    loc = (h[rows[row]] << 48) | (count << 40) | (off << 32) | start
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), pa.array(d[rows[row]]), pa.array(loc)], names=["t1", "t2", "d", "loc"]
                     )
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1).compress
+    press = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         at = batch.schema.get_field_index("text")
         raw = batch.column(at).cast(pa.binary())
         yield batch.set_column(at, "text", pa.array([press(x.as_buffer()) for x in raw], pa.binary()))
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of all windows of the open suffixes of each text."""
-    expand = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for d, h, text, locs in zip(batch.column("d").to_pylist(), batch.column("h").to_pylist(), batch.column("text"), batch.column("locs")):
-            buf = np.frombuffer(expand(text.as_buffer()), np.uint8)
-            locs = locs.values.to_numpy()
-            locs = locs[np.argsort(locs & _START)]
-            starts, counts = locs & _START, (locs >> 40) & 0xFF
-            for i in range(0, len(locs), 1000):
-                s, c = starts[i : i + 1000], counts[i : i + 1000]
-                at = np.repeat(s - np.cumsum(c) + c, c) + np.arange(c.sum())
-                base = int(at[0])
-                t1, t2 = window_tokens(buf[base : int(at[-1]) + WINDOW], at - base)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), pa.array(np.full(len(at), d)), pa.array((h << 48) | (1 << 40) | at)], names=["t1", "t2", "d", "loc"]
-                )
+def _narrowed(width: int):
+    """Suffixes of the narrower runs of the open ones of each text."""
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for d, h, text, locs in zip(batch.column("d").to_pylist(), batch.column("h").to_pylist(), batch.column("text"), batch.column("locs")):
+                buf = np.frombuffer(expand(text.as_buffer()), np.uint8)
+                locs = locs.values.to_numpy()
+                locs = locs[np.argsort(locs & _START)]
+                starts, counts, offs = locs & _START, (locs >> 40) & 0xFF, (locs >> 32) & 0xFF
+                i = 0
+                while i < len(locs):
+                    j = min(i + 1000, int(np.searchsorted(starts, starts[i] + _PIECE)))
+                    base, end = int(starts[i]), int((starts[i:j] + counts[i:j]).max()) - 1 + WINDOW
+                    t1, t2, first, count, off = narrower(buf[base:end], starts[i:j] - base, counts[i:j], offs[i:j], width)
+                    loc = (h << 48) | (count << 40) | (off << 32) | (first + base)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), pa.array(np.full(len(loc), d)), pa.array(loc)], names=["t1", "t2", "d", "loc"]
+                    )
+                    i = j
+
+    return narrowed
 
 
 def _merged(locs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,8 +334,8 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", form: s
     Texts become suffixes at content-chosen places (``suffixes``), which are range-partitioned by their
     leading tokens, sorted in buckets and compared across boundaries. Where neighbours agree in all
     windows that they stand for, those are removed; where they agree in the leading token only, at the
-    ends of repeated passages, each of their windows becomes a suffix in a second round. Tokens are
-    64-bit hashes, two of which must agree.
+    ends of repeated passages, their windows become suffixes of eight windows each in a second round, and
+    where those differ, of one window in a third. Tokens are 64-bit hashes, two of which must agree.
 
     Null and empty texts, and those under 200 bytes, keep all they have; very long texts are read in
     overlapping pieces; repeated rows are copies of each other, so all their windows go; null keys are
@@ -318,10 +349,13 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", form: s
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name != "text")
     fields = f"d long, h long, text binary{''.join(f', {x}' for x in kept.split(', ')[2:])}"
     place = lambda found: found.select("d", F.shiftright("loc", 48).alias("h"), "loc").groupBy("d", "h").agg(F.collect_set("loc").alias("locs"))
-    opened = place(first.filter(F.col("kind") == OPEN))
     texts = packed.select("d", "h", "text").mapInArrow(_compressed, "d long, h long, text binary")
-    second = repeated(texts.join(opened, ["d", "h"]).mapInArrow(_windows, _SUFFIX))
-    spans = place(first.filter(F.col("kind") == SPAN).union(second.filter(F.col("kind") == SPAN)))
+    found, rounds = first, [first]
+    for width in (NARROW, 1):
+        opened = place(found.filter(F.col("kind") == OPEN))
+        found = repeated(texts.join(opened, ["d", "h"]).mapInArrow(_narrowed(width), _SUFFIX))
+        rounds.append(found)
+    spans = place(reduce(DataFrame.union, rounds).filter(F.col("kind") == SPAN))
     whole = packed.select("d", "h", "text", *keep).mapInArrow(_compressed, fields)
     out = whole.join(spans, ["d", "h"], "left")
     tail = "n_bytes long, n_removed long, spans array<struct<start: bigint, end: bigint>>, kept " + ("binary" if form == "bytes" else "string")
