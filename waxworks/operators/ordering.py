@@ -78,11 +78,23 @@ def add_pages(df: DataFrame, *order: Column, size: int) -> DataFrame:
 
 
 def split_by_position(df: DataFrame, *order: Column, cuts: tuple[float, ...], names: tuple[str, ...]) -> DataFrame:
-    """Label rows by where they fall in the order: cut points are whole rows of a share of n."""
-    placed = row_index(df, *order)
+    """Label rows by where they fall in an ascending order: cut points are whole rows of a share of n.
+
+    Only the order keys are sorted. The key at each cut is looked up, and the rows, however wide, are
+    compared with those few keys where they lie. Rows with equal keys go to the same part, and nulls,
+    which come first, to the first.
+    """
+    keys = df.select(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("_key"))
+    placed = row_index(keys, F.col("_key"), name="_at")
     total = placed.agg(F.count("*").alias("_total"))
-    tagged = placed.crossJoin(total)  # one-row right side
+    at_cut = [(F.floor(F.col("_total") * F.lit(c)) == F.col("_at")) for c in cuts]
+    found = placed.crossJoin(F.broadcast(total)).agg(  # one row
+        *[F.min(F.when(hit, F.col("_key"))).alias(f"_cut{i}") for i, hit in enumerate(at_cut)]
+    )
+    tagged = df.crossJoin(F.broadcast(found))  # one row
+    own = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
     part = F.lit(names[-1])
-    for cut, name in reversed(list(zip(cuts, names))):
-        part = F.when(F.col("row_idx") < F.floor(F.col("_total") * F.lit(cut)), F.lit(name)).otherwise(part)
-    return tagged.withColumn("split", part).drop("_total")
+    for i, name in reversed(list(enumerate(names[: len(cuts)]))):
+        cut = F.col(f"_cut{i}")
+        part = F.when(cut.isNull() | (own < cut), F.lit(name)).otherwise(part)
+    return tagged.withColumn("split", part).drop(*[f"_cut{i}" for i in range(len(cuts))])
