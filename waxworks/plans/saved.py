@@ -51,7 +51,9 @@ def latest(spark: SparkSession, folder: str) -> DataFrame | None:
     """Table of the newest active version, None when nothing has been saved."""
     try:
         registry = spark.read.parquet(f"{folder}_registry")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # a damaged or forbidden registry is not an empty one
+            raise
         return None
     version = latest_active(registry).first()["version"]
     return None if version == "none" else spark.read.parquet(f"{folder}/version={version}")
