@@ -59,8 +59,9 @@ def run(spark, rows, schema="doc_id long, text string"):
     return sorted(tuple(r) for r in jj.jaccard_components(spark.createDataFrame(rows, schema)).select("doc_id", "n_shingles", "component_id").collect())
 
 
-@pytest.mark.parametrize("tile", [1024, 3])
-def test_same_as_all_pairs(spark, monkeypatch, tile):
+@pytest.mark.parametrize("few, tile", [(128, 1024), (1, 1024), (2, 3)])
+def test_same_as_all_pairs(spark, monkeypatch, few, tile):
+    monkeypatch.setattr(jj, "_FEW", few)
     monkeypatch.setattr(jj, "_TILE", tile)
     rows = documents()
     assert run(spark, rows) == brute(rows)

@@ -22,7 +22,11 @@ N = 5
 SAMPLE_DOCS, FREQUENT_FROM, FREQUENT_MOST = 4096, 3, 200_000
 SKETCH_BITS = 2048
 _WIDE_FROM = 64  # from this size on a block may hold several n-grams
-_TILE = 1024  # documents of a key that are compared in one go
+_FEW = 128  # up to so many documents of a key are paired at once, more are compared in tiles of
+_TILE = 1024
+#: Shares of the open keys, by hash, after each of which components are joined anew: the first keys of a
+#: large group of near copies unite it, so that the others need no pairs.
+_ROUNDS = (0, 1, 8, 64)
 _FLUSH = 4_000_000  # keys that a task gathers before it sends them on
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -65,8 +69,8 @@ def most_different(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def block_keys(grams: np.ndarray, row: np.ndarray, rows: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys, and row of each, of which any two similar rows share at least one.
 
-    Rows of sizes s to 2s form a band. Its n-grams are dealt into 2s blocks by hash (below 64: one block
-    for each n-gram), and a block's value is the XOR of its n-grams. Sets that differ in d members differ
+    Rows of sizes s to 2s form a band. Its n-grams are dealt into blocks by hash, 0.8 s of them (1.25 s
+    below 256; one for each n-gram below 64), and a block's value is the XOR of its n-grams. Sets that differ in d members differ
     in d blocks at most. So of two similar rows neither has more than D = (a + b) / 7 blocks that the
     other has not, and in any order on blocks and their values the first common one is among the first
     D + 1 of both: those are the keys. Blocks of frequent n-grams only come last, large blocks first. A row
@@ -84,7 +88,8 @@ def block_keys(grams: np.ndarray, row: np.ndarray, rows: int, frequent: np.ndarr
         wanted = most_different(size, most) + 1
         take = use[row]
         g, r, s = grams[take], row[take], low[row[take]]
-        place = np.where(s >= _WIDE_FROM, ((g >> np.uint64(32)) * (2 * s).astype(np.uint64)) >> np.uint64(32), g)
+        blocks = np.where(s >= 4 * _WIDE_FROM, 4 * s // 5, 5 * s // 4).astype(np.uint64)
+        place = np.where(s >= _WIDE_FROM, ((g >> np.uint64(32)) * blocks) >> np.uint64(32), g)
         order = np.lexsort([place, r])
         g, r, place, rr = g[order], r[order], place[order], rare[take][order]
         new = np.ones(len(g), bool)
@@ -103,7 +108,8 @@ def block_keys(grams: np.ndarray, row: np.ndarray, rows: int, frequent: np.ndarr
         begin = np.searchsorted(r, np.arange(rows))
         held = np.bincount(r, minlength=rows)
         if (use & (held < wanted)).any():
-            raise RuntimeError("a row has too few blocks")  # with 2s blocks and s of 64 or more: never
+            # D + 1 lies nine deviations or more below the expected number of blocks in use.
+            raise RuntimeError("a row has too few blocks")
         rank = np.arange(len(r)) - begin[r]
         chosen = rank < wanted[r]
         out_keys.append(key[chosen])
@@ -269,6 +275,42 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of a partition's rows with the same key, in different components, of sizes that allow a link."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    key, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "id", "component", "n"))
+    order = np.lexsort([ids, key])
+    key, ids, comp, n = key[order], ids[order], comp[order], n[order]
+    found, total, apart = [np.empty((0, 2), np.int64)], 0, 1
+    while True:
+        same = np.flatnonzero(key[apart:] == key[:-apart])
+        if not len(same):
+            break
+        other = same + apart
+        fits = (comp[same] != comp[other]) & (75 * np.maximum(n[same], n[other]) <= 100 * np.minimum(n[same], n[other]))
+        found.append(np.stack([ids[same[fits]], ids[other[fits]]], axis=1))
+        total += len(found[-1])
+        if total > _FLUSH:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            total = len(found[0])
+        apart += 1
+    pairs = np.unique(np.concatenate(found), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches don't rule a link out."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            near = np.bitwise_count(a ^ b).sum(axis=1) <= most_different(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            keep = pa.array(near)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+
 def _tile(group: pd.DataFrame) -> pd.DataFrame:
     """Pairs of a tile in different components whose sketches and sizes don't rule a link out."""
     i, j = group["i"].iloc[0], group["j"].iloc[0]
@@ -307,7 +349,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     Equal sets form a class with one representative. Keys of blocks (``block_keys``) propose pairs: each
     class that shares a key with others is paired with the least of them only, and the pairs are verified
     on whole sets. Where members of a key are then still in different components, all pairs between those
-    components whose bit sketches allow a link are verified too, in tiles of bounded size. So no link
+    components whose bit sketches allow a link are verified too, in tiles of bounded size and in three
+    rounds over the keys, each with the components that the one before it left. So no link
     between different sets is lost, and no group is expanded into all its pairs. Keys travel in packed
     arrays, one for each task and bucket.
 
@@ -347,11 +390,17 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     reached = stable(components(links))
 
     # Keys whose members are in different components even so.
-    again = stable(wanted.join(reached, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
-    joined = pairs.select("a", "b").join(again.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(again.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    current = lambda: stable(wanted.join(reached, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    comps = current()
+    joined = pairs.select("a", "b").join(comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(comps.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
     if joined.filter("ca <> cb").limit(1).count():
-        links = links.union(_verify(_left_open(texts, again, own, shared, buckets), texts))
-        reached = stable(components(links))
+        members, sketches = _open_keys(texts, comps, own.groupBy("id").agg(F.max("n").alias("n")), shared, buckets)
+        part = F.pmod(F.xxhash64("key"), F.lit(_ROUNDS[-1]))
+        for low, high in zip(_ROUNDS, _ROUNDS[1:]):
+            more = _across(members.filter((part >= low) & (part < high)), sketches, comps)
+            links = stable(links.union(_verify(more, texts)))
+            reached = stable(components(links))
+            comps = current()
     out = own.join(reached, own["head"] == reached["id"], "left").select(own["id"], F.coalesce("component", "head").alias("component"))
     out = out.groupBy("id").agg(F.min("component").alias("component"))
     kept = info.join(out, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
@@ -392,20 +441,28 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64))], names=["key"])
 
 
-def _left_open(texts: DataFrame, comps: DataFrame, own: DataFrame, shared, buckets: int) -> DataFrame:
+def _open_keys(texts: DataFrame, comps: DataFrame, sizes: DataFrame, shared, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Key, id and size of the members of keys with several components, and the sketches of those members."""
+    mixed = texts.join(comps, "id").mapInArrow(_keyed(shared, buckets), _SENT).repartitionById(buckets, "bucket").mapInArrow(_crossed, "key long")
+    members = stable(join_checked(texts.mapInArrow(_keyed(shared), "key long, id long"), mixed, ["key"]).join(sizes, "id"))
+    wanted = texts.join(members.select("id", "n").distinct(), "id")
+    return members, stable(wanted.select("id", "n", "text").mapInArrow(_sketched, "id long, n long, sketch binary"))
+
+
+def _across(members: DataFrame, sketches: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs across components that share a key and that sizes and sketches allow."""
-    known = texts.join(comps, "id")
-    mixed = known.mapInArrow(_keyed(shared, buckets), _SENT).repartitionById(buckets, "bucket").mapInArrow(_crossed, "key long")
-    members = stable(join_checked(texts.mapInArrow(_keyed(shared), "key long, id long"), mixed, ["key"]).join(comps, "id"))
-    chunks = members.groupBy("key").agg(F.ceil(F.count("*") / _TILE).cast("int").alias("chunks"))
-    sizes = own.groupBy("id").agg(F.max("n").alias("n"))
-    wanted = texts.join(members.select("id").distinct(), "id").join(sizes, "id")
-    sketches = wanted.select("id", "n", "text").mapInArrow(_sketched, "id long, n long, sketch binary")
-    rows = members.join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("key", "id", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    tiles = rows.join(sketches, "id").groupBy("key", "i", "j").applyInPandas(_tile, "a long, b long")
-    return stable(tiles.distinct())
+    rows = members.join(comps, "id")
+    counts = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+    rows = stable(rows.join(counts.filter("lo < hi"), "key").select("key", "id", "n", "component", "members"))
+    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    pairs = rows.filter(F.col("members") <= _FEW).select("key", "id", "component", "n").repartition("key").mapInArrow(_few, "a long, b long").distinct()
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_allowed, "a long, b long")
+    many = rows.filter(F.col("members") > _FEW).drop("n").withColumn("chunks", F.ceil(F.col("members") / _TILE).cast("int"))
+    many = many.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    many = many.select("key", "id", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    tiles = many.join(sketches, "id").groupBy("key", "i", "j").applyInPandas(_tile, "a long, b long")
+    return stable(pairs.union(tiles).distinct())
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
