@@ -117,3 +117,14 @@ def test_texts_stay_whole(spark):
     got = {r["doc_id"]: r for r in sd.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
     assert list(got[1].asDict()) == ["doc_id", "text", "lang", "source", "n_chars"]
     assert got[3]["text"] == "" and got[1]["text"] in a and got[1]["n_chars"] == len(got[1]["text"]) < 10
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_many_texts_under_one_key(spark, key):
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = text(260)
+    given = [text(rnd.randrange(0, 40)) + (passage[i % 50 :] if i % 2 else "") + text(rnd.randrange(210, 400)) for i in range(900)]
+    got = run(spark, [(key, t, i) for i, t in enumerate(given)], "doc_id long, text string, i int")
+    by = {r["i"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept"]) for r in got}
+    assert [by[i] for i in range(len(given))] == brute(given)

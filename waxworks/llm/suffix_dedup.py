@@ -27,8 +27,8 @@ _LOW = np.uint64((1 << 24) - 1)
 _START = (1 << 32) - 1
 _SMALL = 2048  # segments below this are sorted at once
 
-_SUFFIX = "t1 long, t2 long, d long, loc long"
-_FOUND = "kind int, d long, loc long, edge binary"
+_SUFFIX = "t1 long, t2 long, d long, h long, loc long"
+_FOUND = "kind int, d long, h long, loc long, edge binary"
 SPAN, OPEN, FIRST, LAST = 0, 1, 2, 3
 
 
@@ -169,10 +169,10 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     table = pa.Table.from_batches(held)
-    t1, t2, d, loc = (table.column(c).to_numpy() for c in ("t1", "t2", "d", "loc"))
+    t1, t2, d, h, loc = (table.column(c).to_numpy() for c in ("t1", "t2", "d", "h", "loc"))
     del held, table
-    order = multikey_order([t1, t2, d, loc])
-    t1, t2, d, loc = t1[order], t2[order], d[order], loc[order]
+    order = multikey_order([t1, t2, d, h, loc])
+    t1, t2, d, h, loc = t1[order], t2[order], d[order], h[order], loc[order]
     same1, same2 = t1[1:] == t1[:-1], (t1[1:] == t1[:-1]) & (t2[1:] == t2[:-1])
     whole, turn = np.zeros(len(t1), bool), np.zeros(len(t1), bool)
     whole[1:] |= same2
@@ -184,41 +184,41 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for kind, rows in ((SPAN, np.flatnonzero(whole)), (OPEN, np.flatnonzero(turn)), (FIRST, np.array([0])), (LAST, np.array([len(t1) - 1]))):
         if len(rows):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(rows), kind, np.int32)), pa.array(d[rows]), pa.array(loc[rows]), pa.array([edge.get(kind)] * len(rows), pa.binary())],
-                names=["kind", "d", "loc", "edge"],
+                [pa.array(np.full(len(rows), kind, np.int32)), pa.array(d[rows]), pa.array(h[rows]), pa.array(loc[rows]), pa.array([edge.get(kind)] * len(rows), pa.binary())],
+                names=["kind", "d", "h", "loc", "edge"],
             )
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """Which suffixes have their tokens in common with another: kind, d and loc.
+    """Which suffixes have their tokens in common with another: kind, d, h and loc.
 
     Spark samples splitters over the leading tokens and deals the suffixes out by range, so that a token
     that very many share spreads over several buckets. Every bucket is sorted on its own. Of each bucket
     only the two ends reach the driver, to be compared with the ends of the next.
     """
-    found = stable(rows.repartitionByRange("t1", "t2", "d", "loc").mapInArrow(_bucket, _FOUND))
+    found = stable(rows.repartitionByRange("t1", "t2", "d", "h", "loc").mapInArrow(_bucket, _FOUND))
     ends = []
     for r in found.filter(F.col("kind") >= FIRST).collect():  # two rows a bucket
         bucket, t1, t2 = np.frombuffer(bytes(r["edge"]), np.int64).tolist()
-        ends.append((bucket, r["kind"], t1, t2, r["d"], r["loc"]))
+        ends.append((bucket, r["kind"], t1, t2, r["d"], r["h"], r["loc"]))
     ends.sort()
     more = []
     for a, b in zip(ends, ends[1:]):
         if a[0] != b[0] and a[2] == b[2]:
             kind = SPAN if a[3] == b[3] else OPEN
             more += [(kind, *x[4:]) for x in (a, b)]
-    found = found.filter(F.col("kind") < FIRST).select("kind", "d", "loc")
-    return found.union(found.sparkSession.createDataFrame(more, "kind int, d long, loc long")) if more else found
+    found = found.filter(F.col("kind") < FIRST).select("kind", "d", "h", "loc")
+    return found.union(found.sparkSession.createDataFrame(more, "kind int, d long, h long, loc long")) if more else found
 
 
 # ---------------------------------------------------------------- documents
 
 
 def _packed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A key of two parts, by which equal rows share one, and the text compressed for the shuffles."""
+    """The row's key and the hash of its text, which tell texts apart also under one key; equal rows share both."""
     return df.select(
         F.coalesce(F.xxhash64(df[key].cast("string")) if dict(df.dtypes)[key] not in ("bigint", "int") else df[key].cast("bigint"), F.lit(-(1 << 62))).alias("d"),
-        F.xxhash64(df[text]).bitwiseAND(0x7FFF).alias("h"), F.coalesce(df[text], F.lit("")).alias("text"), *[df[c].alias(f"c{i}") for i, c in enumerate(df.columns) if c != text],
+        F.xxhash64(df[text]).alias("h"), F.coalesce(df[text], F.lit("")).alias("text"), *[df[c].alias(f"c{i}") for i, c in enumerate(df.columns) if c != text],
     )
 
 
@@ -231,9 +231,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 t1, t2, row, lo, count, off = suffixes(buf[base : int(his.max())], los - base, his - base)
                 if len(t1):
                     start = lo + base - los[row] + offs[row]
-                    loc = (h[rows[row]] << 48) | (count << 40) | (off << 32) | start
+                    loc = (count << 40) | (off << 32) | start
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), pa.array(d[rows[row]]), pa.array(loc)], names=["t1", "t2", "d", "loc"]
+                        [pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), pa.array(d[rows[row]]), pa.array(h[rows[row]]), pa.array(loc)],
+                        names=["t1", "t2", "d", "h", "loc"],
                     )
 
 
@@ -261,9 +262,10 @@ def _narrowed(width: int):
                     j = min(i + 1000, int(np.searchsorted(starts, starts[i] + _PIECE)))
                     base, end = int(starts[i]), int((starts[i:j] + counts[i:j]).max()) - 1 + WINDOW
                     t1, t2, first, count, off = narrower(buf[base:end], starts[i:j] - base, counts[i:j], offs[i:j], width)
-                    loc = (h << 48) | (count << 40) | (off << 32) | (first + base)
+                    loc = (count << 40) | (off << 32) | (first + base)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), pa.array(np.full(len(loc), d)), pa.array(loc)], names=["t1", "t2", "d", "loc"]
+                        [pa.array(t1.view(np.int64)), pa.array(t2.view(np.int64)), pa.array(np.full(len(loc), d)), pa.array(np.full(len(loc), h)), pa.array(loc)],
+                        names=["t1", "t2", "d", "h", "loc"],
                     )
                     i = j
 
@@ -339,7 +341,7 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", form: s
 
     Null and empty texts, and those under 200 bytes, keep all they have; very long texts are read in
     overlapping pieces; repeated rows are copies of each other, so all their windows go; null keys are
-    one more key; an empty table gives an empty one; columns named as the new ones are replaced.
+    one more key; texts that share a key are told apart by their 64-bit hash; an empty table gives an empty one; columns named as the new ones are replaced.
     """
     new = ("n_bytes", "n_removed", "spans", "kept")
     keep = {f"c{i}": c for i, c in enumerate(df.columns) if c != text and (c == key or c not in new)}
@@ -348,7 +350,7 @@ def suffix_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", form: s
     packed = rows.select("d", "h", "text", *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name != "text")
     fields = f"d long, h long, text binary{''.join(f', {x}' for x in kept.split(', ')[2:])}"
-    place = lambda found: found.select("d", F.shiftright("loc", 48).alias("h"), "loc").groupBy("d", "h").agg(F.collect_set("loc").alias("locs"))
+    place = lambda found: found.groupBy("d", "h").agg(F.collect_set("loc").alias("locs"))
     texts = packed.select("d", "h", "text").mapInArrow(_compressed, "d long, h long, text binary")
     found, rounds = first, [first]
     for width in (NARROW, 1):
