@@ -99,6 +99,17 @@ def test_keep_one(spark):
     assert {r["doc_id"] for r in jj.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_keep_one_of_null_and_repeated_keys(spark):
+    one, two, three, four = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z a b")
+    rows = [(None, one, 1), (None, two, 2), (None, None, 3), (7, three, 4), (7, three, 5), (5, four, 6), (9, four, 7), (9, "1 2 3 4 5 6 7", 8), (None, four, 9), (None, one, 10)]
+    got = jj.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n long"))
+    assert got.columns == ["doc_id", "text", "n"]
+    kept = sorted(r["n"] for r in got.collect())
+    assert [n for n in kept if n not in (1, 4, 5, 10)] == [2, 3, 6, 8] and len({1, 10} & set(kept)) == len({4, 5} & set(kept)) == 1
+    named = spark.createDataFrame([("b", one), ("a", one), ("c", two), (None, three)], "doc_id string, text string")
+    assert sorted(r["doc_id"] or "" for r in jj.keep_one(named).collect()) == ["", "a", "c"]
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rnd.randrange(100, 400), rnd.randrange(100, 400)) for _ in range(150)] + [(500, 500)]

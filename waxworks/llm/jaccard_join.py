@@ -466,9 +466,27 @@ def _across(members: DataFrame, sketches: DataFrame, comps: DataFrame) -> DataFr
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that are the least of their component: one document of each group of near copies."""
-    heads = jaccard_components(df, key, text).filter(F.col("component_id") == F.col(key)).select(F.col(key).alias("_kept")).distinct()
-    return df.join(heads, df[key] == heads["_kept"], "left_semi")
+    """One row of each group of near copies: the one with the least key, null keys last.
+
+    Every row is judged by its own text, also where its key is null or that of another row; of rows with
+    the least key of a group one stays. Rows without n-grams stay. Where whole numbers that are all
+    different and not null are the keys, they name the rows; otherwise the rows get a number first, which
+    is written once beside them.
+    """
+    if dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
+        unclear = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).filter("k is null or n > 1")
+        if unclear.isEmpty():
+            heads = jaccard_components(df, key, text).filter(F.col("component_id") == F.col(key)).select(F.col(key).alias("_kept"))
+            return df.join(heads, df[key] == heads["_kept"], "left_semi")
+    row = "_row"
+    while row in df.columns:
+        row += "_"
+    marked = stable(df.withColumn(row, F.monotonically_increasing_id()))
+    groups = jaccard_components(marked, row, text).select(F.col(row).alias("r"), F.col("component_id").alias("c"))
+    keys = marked.select(F.col(row).alias("r"), F.col(key).alias("k"))
+    first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "r"))
+    heads = groups.join(keys, "r").groupBy("c").agg(first.alias("first")).select(F.col("first.r").alias("_kept"))
+    return marked.join(heads, marked[row] == heads["_kept"], "left_semi").drop(row)
 
 
 @query("op5_jaccard_join")
