@@ -56,3 +56,43 @@ def test_odd_rows(spark):
     nothing = li.language_id(df, PIECES, {}).collect()
     assert {(r["lang_pred"], r["score"]) for r in nothing} == {("und", 0.0)}
     assert li.fit(df.filter("false"), PIECES, F.lit(True)) == {} and li.language_id(df.filter("false"), PIECES, model).collect() == []
+
+
+def expected(pieces, chance, word):
+    """Uses of each piece over all ways to cut the word, weighted by their probability."""
+    index = {t: i for i, t in enumerate(pieces.texts)}
+    text, total, counts = b" " + word, 0.0, np.zeros(pieces.size)
+    for n in range(len(text)):
+        for cuts in itertools.combinations(range(1, len(text)), n):
+            edges = [0, *cuts, len(text)]
+            ids = [index.get(text[a:b]) for a, b in zip(edges, edges[1:])]
+            if None not in ids:
+                p = math.prod(chance[i] for i in ids)
+                total += p
+                np.add.at(counts, ids, p)
+    return counts / total
+
+
+@pytest.mark.parametrize("cells", [250_000, 10])
+def test_expected_uses(monkeypatch, cells):
+    monkeypatch.setattr(li, "_CELLS", cells)
+    pieces = li.Pieces(PIECES)
+    chance = np.random.default_rng(2).random(pieces.size) / 20
+    words = [w.encode() for w in ("a", "ababab", "é", "baé", "xyz", "abaaba", "ba")]
+    got = li._expected(pieces, chance, words, np.arange(1.0, 8.0))
+    assert np.allclose(got, sum(k * expected(pieces, chance, w) for k, w in enumerate(words, 1)))
+    for size in (61, 5000):  # each byte is used once, whatever the pieces
+        counts = li._expected(pieces, chance, [b"ab" * size], np.array([2.0]))
+        assert counts @ [len(t) for t in pieces.texts] == pytest.approx(2 * (2 * size + 1))
+
+
+def test_languages_without_spaces(spark):
+    rng = np.random.default_rng(3)
+    signs = {"x": "天地玄黃宇宙洪荒日月", "y": "あいうえおかきくけこ", "z": "abcdefghij"}
+    text = lambda lang: "".join(rng.choice(list(signs[lang]), 120))
+    docs = [(i, text(lang), lang) for i, lang in enumerate("xyz" * 12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    pieces = [*PIECES, *"".join(signs.values())]
+    model = li.fit(df, pieces, F.col("doc_id") < 18)
+    got = li.language_id(df.filter("doc_id >= 18"), pieces, model).collect()
+    assert len(got) == 18 and all(r["lang_pred"] == r["lang"] and r["score"] > 0.99 for r in got)

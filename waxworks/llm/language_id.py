@@ -19,6 +19,7 @@ ROUNDS, SMOOTHING, BYTE_SHARE = 3, 0.05, 1e-4
 UNKNOWN = "und"
 _SLICE = 8 << 20
 _WORDS = 50_000  # words of a forward pass; bounds memory only
+_CELLS = 250_000  # positions of words whose pieces are looked up at once when fitting; bounds memory only
 
 
 class Pieces:
@@ -128,27 +129,72 @@ def forward(pieces: Pieces, chances: np.ndarray, words: list[bytes]) -> np.ndarr
     return out
 
 
+def _cuts(pieces: Pieces, words: list[bytes], kept: bool):
+    """Pieces by end position, in blocks: a function from a block's number to (end, length, row, piece id) of each.
+
+    Ordered by end, then row. Words are longest first. ``kept``: blocks are held, not found anew.
+    """
+    matrix, sizes = _matrix(words)
+    up, down = tb.scales(matrix.shape[1] + 1)
+    sums = np.zeros((matrix.shape[1] + 1, len(words)), np.uint64)
+    np.cumsum((tb.BYTE[matrix] * up[:-1]).T, axis=0, out=sums[1:])
+    step = max(1, _CELLS // len(words))
+    held: dict[int, tuple] = {}
+
+    def block(at: int):
+        if at in held:
+            return held[at]
+        ends = np.arange(at * step + 1, min((at + 1) * step, matrix.shape[1]) + 1)
+        found = []
+        for length in range(1, min(int(ends[-1]), pieces.longest) + 1):
+            e = ends[ends >= length]
+            ids = pieces.find(tb.mix((sums[e] - sums[e - length]) * down[e - length][:, None]).ravel())
+            hit = np.flatnonzero(ids >= 0)
+            end, row = e[hit // len(words)], hit % len(words)
+            inside = end <= sizes[row]
+            found.append((end[inside], np.full(int(inside.sum()), length, np.int16), row[inside].astype(np.int32), ids[hit[inside]]))
+        end, length, row, ids = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort([row, end])
+        out = end[order], length[order], row[order], ids[order]
+        if kept:
+            held[at] = out
+        return out
+
+    return block, -(-matrix.shape[1] // step), sizes
+
+
 def _expected(pieces: Pieces, chance: np.ndarray, words: list[bytes], weight: np.ndarray) -> np.ndarray:
-    """Expected number of uses of each piece over all segmentations of the weighted words."""
-    counts = np.zeros(pieces.size)
+    """Expected number of uses of each piece over all segmentations of the weighted words.
+
+    Sums are held as logarithms at each position, so words may have any length.
+    """
+    counts, logs = np.zeros(pieces.size), np.log(chance)
     for at in _chunks(words):
         own, w = [words[i] for i in at.tolist()], weight[at]
-        edges = list(_edges(pieces, own))
-        sizes = np.array([len(x) + 1 for x in own])
-        scale = 8.0  # a byte's usual improbability, so that products stay near one
-        fore = np.zeros((sizes.max() + 1, len(own)))
-        back = np.zeros_like(fore)
-        fore[0] = 1.0
-        back[sizes, np.arange(len(own))] = 1.0
-        for end, length, rows, ids in edges:
-            fore[end, rows] += fore[end - length, rows] * chance[ids] * scale**length
+        block, blocks, sizes = _cuts(pieces, own, len(own) * (len(own[0]) + 1) <= 64 * _WORDS)
+        fore = np.full((int(sizes[0]) + 1, len(own)), -np.inf)
+        back = np.full_like(fore, -np.inf)
+        fore[0] = 0.0
+        back[sizes, np.arange(len(own))] = 0.0
+        for b in range(blocks):
+            end, length, row, ids = block(b)
+            first = np.flatnonzero(np.append(True, end[1:] != end[:-1]))
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(end)]):
+                r = row[lo:hi]
+                through = fore[end[lo] - length[lo:hi], r] + logs[ids[lo:hi]]
+                new = np.flatnonzero(np.append(True, r[1:] != r[:-1]))  # every byte is a piece, so no row is left out
+                top = np.maximum.reduceat(through, new)
+                part = np.exp(through - np.repeat(top, np.diff(np.append(new, hi - lo))))
+                fore[end[lo], r[new]] = top + np.log(np.add.reduceat(part, new))
         total = fore[sizes, np.arange(len(own))]
-        usable = (total > 0) & np.isfinite(total)
-        share = np.where(usable, w / np.where(usable, total, 1.0), 0.0)
-        for end, length, rows, ids in reversed(edges):
-            through = chance[ids] * scale**length * back[end, rows]
-            back[end - length, rows] += through
-            counts += np.bincount(ids, fore[end - length, rows] * through * share[rows], pieces.size)
+        for b in reversed(range(blocks)):
+            end, length, row, ids = block(b)
+            first = np.flatnonzero(np.append(True, end[1:] != end[:-1]))
+            for lo, hi in reversed(list(zip(first.tolist(), [*first[1:].tolist(), len(end)]))):
+                begin, r = end[lo] - length[lo:hi], row[lo:hi]  # a begin and a row occur once
+                back[begin, r] = np.logaddexp(back[begin, r], logs[ids[lo:hi]] + back[end[lo], r])
+            share = np.exp(fore[end - length, row] + logs[ids] + back[end, row] - total[row])
+            counts += np.bincount(ids, share * w[row], pieces.size)
     return counts
 
 
@@ -158,7 +204,7 @@ def _fit(pieces: Pieces, texts: list[str]) -> np.ndarray:
     for text in texts:
         for word in text.encode().split():
             seen[word] = seen.get(word, 0) + 1
-    words = [w for w in seen if len(w) <= 60]
+    words = list(seen)
     weight = np.array([seen[w] for w in words], np.float64)
     chance = np.full(pieces.size, 1.0 / pieces.size)
     for _ in range(ROUNDS if words else 0):
@@ -181,7 +227,8 @@ def read_pieces(path: str) -> list[str]:
 def fit(df: DataFrame, pieces: list[str], learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Piece probabilities for each language among the rows for which ``learn`` holds and ``lang`` isn't null.
 
-    Each language is fitted on at most ``SAMPLE_ROWS`` rows: those with the smallest hash of the key. The
+    Each language is fitted on at most ``SAMPLE_ROWS`` rows: those with the smallest hash of the key. Words
+    count whatever their length, so languages written without spaces are learned like others. The
     model has one number per language and piece, whatever the size of the table.
     """
     rows = df.filter(learn & df[lang].isNotNull() & df[text].isNotNull()).select(
