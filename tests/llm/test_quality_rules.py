@@ -2,7 +2,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from waxworks.llm import quality_rules as qr
+from waxworks.llm import textbytes as tb
 
 
 def brute(text):
@@ -59,3 +62,15 @@ def test_odd_tables(spark):
     got = qr.quality_rules(df)
     assert [(r["n_words"], r["kept"]) for r in got.collect()] == [(2, False), (0, False), (0, False)] and len(set(got.columns)) == len(got.columns)
     assert qr.quality_rules(df.filter("false")).collect() == [] and qr.keep_good(df).columns == df.columns
+
+
+def test_long_lines_have_one_hash():
+    rng = np.random.default_rng(4)
+    for size in (1_500_000, 1 << 20, (1 << 20) + 1, 3_000_000):
+        long = rng.integers(97, 123, size).astype(np.uint8).tobytes()
+        for gap in (0, 100_000, 1_900_000):
+            raw = b"short line\n" * (gap // 11) + long + b"\n" + long + b"\n" + b"end\n" + long
+            buf = np.frombuffer(raw, np.uint8)
+            starts, ends, _ = tb.lines(buf, np.array([0]), np.array([len(buf)]))
+            hashes = tb.hash_ranges(buf, starts, ends)[ends - starts == size]
+            assert len(hashes) == 3 and len(set(hashes.tolist())) == 1

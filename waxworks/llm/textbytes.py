@@ -89,15 +89,11 @@ def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         lo = int(starts[i])
         j = int(np.searchsorted(starts, lo + SLICE_BYTES, "left"))
         j = max(j, i + 1)
-        hi = int(ends[i:j].max())
-        if hi - lo > SLICE_BYTES + _LONG:
-            long = np.flatnonzero(ends[i:j] - starts[i:j] > _LONG) + i
-            for k in long.tolist():
-                digest = hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8).digest()
-                out[k] = np.frombuffer(digest, np.uint64)[0]
-            rest = np.setdiff1d(np.arange(i, j), long)
-        else:
-            rest = np.arange(i, j)
+        long = np.flatnonzero(ends[i:j] - starts[i:j] > _LONG) + i  # by its own length, whatever stands beside it
+        for k in long.tolist():
+            digest = hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8).digest()
+            out[k] = np.frombuffer(digest, np.uint64)[0]
+        rest = np.setdiff1d(np.arange(i, j), long) if len(long) else np.arange(i, j)
         if len(rest):
             s, e = starts[rest], ends[rest]
             lo, hi = int(s[0]), int(e.max())
