@@ -8,7 +8,7 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 MODULES = (
     "quality_rules", "sharding", "exact_topk", "byte_bpe", "language_id", "toxicity", "chat_format", "suffix_dedup", "jaccard_join", "packing",
-    "chat_repair", "hard_negatives",
+    "chat_repair", "hard_negatives", "minhash_dedup",
 )
 
 
