@@ -214,40 +214,69 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _across(nearest: bool):
-    """Possible pairs of a tile in different components, each in the first band that it shares.
+def _tiled(table: pa.Table):
+    """A tile's columns, and for each member on its left those on its right that may be linked with it.
 
-    With ``nearest`` a member has one partner in each other component: that with the most equal values.
+    Only members of other components count, and a pair counts in the first band that it shares.
     """
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ("key", "i", "j")):
-            values = _matrix(table.column("values").combine_chunks())
-            ids, n, comp, chunk = (np.asarray(table.column(c), np.int64) for c in ("c", "n", "component", "chunk"))
-            i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
-            left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for x in left:
-                y = right[(comp[right] != comp[x]) & _fits(n[right], n[x])]
-                if i == j:
-                    y = y[ids[y] > ids[x]]
-                y = y[_possible(values[x], values[y])]
-                if not len(y):
-                    continue
-                equal = values[y] == values[x]
-                bands = equal.reshape(len(y), BANDS, BAND_ROWS).all(axis=2)
-                own = bands.argmax(axis=1) == band
-                y, equal = y[own], equal[own]
-                if nearest and len(y):
-                    order = np.lexsort([ids[y], -equal.sum(axis=1), comp[y]])
-                    y = y[order]
-                    y = y[np.concatenate([[True], comp[y[1:]] != comp[y[:-1]]])]
-                a.append(np.full(len(y), ids[x]))
-                b.append(ids[y])
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return across
+    values = _matrix(table.column("values").combine_chunks())
+    ids, n, comp, chunk = (np.asarray(table.column(c), np.int64) for c in ("c", "n", "component", "chunk"))
+    i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
+    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+
+    def pairs():
+        for x in left:
+            y = right[(comp[right] != comp[x]) & _fits(n[right], n[x])]
+            if i == j:
+                y = y[ids[y] > ids[x]]
+            y = y[_possible(values[x], values[y])]
+            if len(y):
+                bands = (values[y] == values[x]).reshape(len(y), BANDS, BAND_ROWS).all(axis=2)
+                y = y[bands.argmax(axis=1) == band]
+            if len(y):
+                yield x, y
+
+    return ids, n, comp, right, pairs()
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of tiles that have a possible partner there."""
+    for table in _groups(batches, ("key", "i", "j")):
+        ids, _, _, _, pairs = _tiled(table)
+        taken = np.zeros(len(ids), bool)
+        for x, y in pairs:
+            taken[x] = True
+            taken[y] = True
+        if taken.any():
+            yield from table.filter(pa.array(taken)).combine_chunks().to_batches()
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a tile by whole sets, as many as join its components: no more than it has members."""
+    for table in _groups(batches, ("key", "i", "j")):
+        ids, n, comp, right, pairs = _tiled(table)
+        sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in table.column("members")]
+        hashes = np.concatenate([sets[r] for r in right])
+        owners = np.repeat(right, [len(sets[r]) for r in right])
+        order = np.argsort(hashes, kind="stable")
+        hashes, owners = hashes[order], owners[order]
+        _, root = np.unique(comp, return_inverse=True)
+        a, b = [], []
+        for x, y in pairs:
+            y = y[root[y] != root[x]]
+            if not len(y):
+                continue
+            lo, hi = np.searchsorted(hashes, sets[x], "left"), np.searchsorted(hashes, sets[x], "right")
+            many = hi - lo
+            at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            both = np.bincount(owners[at], minlength=len(ids))[y]
+            for z in y[similar(n[x], n[y], both)]:
+                if root[z] != root[x]:
+                    a.append(ids[x])
+                    b.append(ids[z])
+                    root[root == root[z]] = root[x]
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 # ---------------------------------------------------------------- join
@@ -263,13 +292,16 @@ class _Texts:
     def __init__(self, rows: DataFrame, classes: DataFrame):
         self.rows, self.classes = rows, classes
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked, by their whole sets."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        wanted = stable(self.classes.select("c", "id", "n", "s1", "s2").join(wanted, "c"))
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """c and members of the classes ``wanted``."""
+        wanted = stable(self.classes.select("c", "id", "n", "s1", "s2").join(wanted.select("c").distinct(), "c"))
         texts = join_checked(self.rows, wanted.select("id").distinct(), ["id"])
         sets = texts.mapInArrow(_sets, "n long, s1 long, s2 long, members binary").join(wanted.drop("id"), ["n", "s1", "s2"])
-        sets = stable(sets.select("c", "members").dropDuplicates(["c"]))
+        return stable(sets.select("c", "members").dropDuplicates(["c"]))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are linked, by their whole sets."""
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("c")))
         both = pairs.join(_sided(sets, "b", "members"), "b").join(_sided(sets, "a", "members"), "a")
         return both.select("a", "b", "members_a", "members_b").mapInArrow(_linked, "a long, b long")
 
@@ -287,8 +319,9 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     sets form a class first. Each class has 128 MinHash values in 32 bands; classes that share a band are
     candidates. In each band every member is compared with the least one only, so a group of copies makes
     as many pairs as it has members; where members are then still in different components, all pairs
-    between those components are compared too, in tiles, each pair in the first band that it shares:
-    first the nearest partner in each other component, then what is still open.
+    between those components are compared too, in tiles, each pair in the first band that it shares. Sets
+    go only to tiles with possible pairs, which are confirmed there; a tile gives no more links than join
+    its components.
 
     A candidate pair is verified in steps: after 16, 32, 64 and 128 values it is dropped if the posterior
     probability of a similarity of 0.8 is below ``MISS``. Survivors are confirmed on whole sets of 64-bit
@@ -319,20 +352,19 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     one_node = own.join(several, "id").select("a", F.col("c").alias("b")).filter("a <> b")  # equal keys
     links = stable(exact.links(likely).union(one_node))
     comps = _reached(links, classes)
-    for nearest in (True, False):
-        members = shared.select("key", "band", "c").join(comps, "c")
-        still = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
-        still = stable(members.join(still.select("key", "members"), "key"))
-        if still.isEmpty():
-            break
-        chunks = F.ceil(F.col("members") / _TILE).cast("int")
-        tiled = still.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
-        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        tiled = tiled.select("key", "band", "c", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-        tiled = tiled.join(classes.select("c", "n", "values"), "c").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = stable(tiled.mapInArrow(_across(nearest), "a long, b long"))
-        links = stable(links.union(exact.links(pairs)))
-        comps = _reached(links, classes)
+    members = shared.select("key", "band", "c").join(comps, "c")
+    still = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
+    chunks = F.ceil(F.col("members") / _TILE).cast("int")
+    tiles = members.join(still.select("key", chunks.alias("chunks")), "key").withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int"))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = tiles.select("key", "band", "c", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    together = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    tiles = tiles.join(classes.select("c", "n", "values"), "c")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.schema)
+    tiles = stable(together(tiles).mapInArrow(_open, kind))
+    if not tiles.isEmpty():
+        more = together(tiles.join(exact.sets(tiles), "c")).mapInArrow(_confirmed, "a long, b long")
+        comps = _reached(stable(links.union(more)), classes)
 
     nodes = own.join(comps, "c")
     first = nodes.groupBy("component").agg(F.min("id").alias("first"))
