@@ -17,7 +17,7 @@ from waxworks.llm.registry import query
 SAMPLE_ROWS = 1000
 ROUNDS, SMOOTHING, BYTE_SHARE = 3, 0.05, 1e-4
 UNKNOWN = "und"
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 _WORDS = 50_000  # words of a forward pass; bounds memory only
 _CELLS = 250_000  # positions of words whose pieces are looked up at once when fitting; bounds memory only
 

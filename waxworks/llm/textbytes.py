@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once. It bounds memory only; no result depends on it.
 SLICE_BYTES = 2 << 20
-_LONG = 1 << 20  # a single range above this is hashed by blake2b, in constant memory
+_BLOCK = _LONG = 1 << 18  # ranges that start so near are hashed together; a longer one by blake2b, in constant memory
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -28,20 +27,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def scales(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd number, and of its inverse, modulo 2**64."""
-    up, down = _powers(max(4 * SLICE_BYTES, n))
+    global _table
+    up, down = _table
+    if len(up) < n:
+        up, down = _powers(-(-n // _STEP) * _STEP)
+        if n <= SLICE_BYTES + _STEP:  # those of a longer text go with it
+            _table = up, down
     return up[:n], down[:n]
 
 
 #: A random 64-bit value for each byte.
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
+_STEP = 1 << 18
+_table: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
+
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    out = []
+    for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+        powers = np.full(n, base, np.uint64)
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers, out=powers))
+    return out[0], out[1]
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +95,7 @@ def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     i = 0
     while i < len(starts):
         lo = int(starts[i])
-        j = int(np.searchsorted(starts, lo + SLICE_BYTES, "left"))
+        j = int(np.searchsorted(starts, lo + _BLOCK, "left"))
         j = max(j, i + 1)
         long = np.flatnonzero(ends[i:j] - starts[i:j] > _LONG) + i  # by its own length, whatever stands beside it
         for k in long.tolist():
@@ -97,7 +105,7 @@ def hash_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         if len(rest):
             s, e = starts[rest], ends[rest]
             lo, hi = int(s[0]), int(e.max())
-            up, down = _powers(max(4 * SLICE_BYTES, hi - lo + 1))
+            up, down = scales(hi - lo + 1)
             sums = np.zeros(hi - lo + 1, np.uint64)
             np.cumsum(BYTE[buf[lo:hi]] * up[: hi - lo], out=sums[1:])
             out[rest] = mix((sums[e - lo] - sums[s - lo]) * down[s - lo] + (e - s).astype(np.uint64) * BYTE[7])
