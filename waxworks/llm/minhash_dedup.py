@@ -214,67 +214,59 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _tiled(table: pa.Table):
-    """A tile's columns, and for each member on its left those on its right that may be linked with it.
-
-    Only members of other components count, and a pair counts in the first band that it shares.
-    """
-    values = _matrix(table.column("values").combine_chunks())
+def _tile(table: pa.Table):
+    """Classes, sizes, components and the two sides of a tile."""
     ids, n, comp, chunk = (np.asarray(table.column(c), np.int64) for c in ("c", "n", "component", "chunk"))
-    i, j, band = (table.column(c)[0].as_py() for c in ("i", "j", "band"))
-    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+    return ids, n, comp, np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
 
-    def pairs():
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of tiles that may be linked with a member of another component whose first common band this is."""
+    for table in _groups(batches, ("key", "i", "j")):
+        ids, n, comp, left, right = _tile(table)
+        values, band = _matrix(table.column("values").combine_chunks()), table.column("band")[0].as_py()
+        taken = np.zeros(len(ids), bool)
         for x in left:
             y = right[(comp[right] != comp[x]) & _fits(n[right], n[x])]
-            if i == j:
-                y = y[ids[y] > ids[x]]
             y = y[_possible(values[x], values[y])]
             if len(y):
                 bands = (values[y] == values[x]).reshape(len(y), BANDS, BAND_ROWS).all(axis=2)
                 y = y[bands.argmax(axis=1) == band]
-            if len(y):
-                yield x, y
-
-    return ids, n, comp, right, pairs()
-
-
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of tiles that have a possible partner there."""
-    for table in _groups(batches, ("key", "i", "j")):
-        ids, _, _, _, pairs = _tiled(table)
-        taken = np.zeros(len(ids), bool)
-        for x, y in pairs:
-            taken[x] = True
-            taken[y] = True
+                taken[x] |= len(y) > 0
+                taken[y] = True
         if taken.any():
-            yield from table.filter(pa.array(taken)).combine_chunks().to_batches()
+            yield from table.drop_columns(["values", "band"]).filter(pa.array(taken)).combine_chunks().to_batches()
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a tile by whole sets, as many as join its components: no more than it has members."""
+    """Links of a tile by whole sets, as many as join its components: no more than it has members.
+
+    An index from members of sets to the tile's right side counts what a set shares with all of them.
+    """
     for table in _groups(batches, ("key", "i", "j")):
-        ids, n, comp, right, pairs = _tiled(table)
+        ids, n, comp, left, right = _tile(table)
         sets = [np.frombuffer(m.as_buffer(), np.uint64) for m in table.column("members")]
-        hashes = np.concatenate([sets[r] for r in right])
-        owners = np.repeat(right, [len(sets[r]) for r in right])
-        order = np.argsort(hashes, kind="stable")
-        hashes, owners = hashes[order], owners[order]
-        _, root = np.unique(comp, return_inverse=True)
         a, b = [], []
-        for x, y in pairs:
-            y = y[root[y] != root[x]]
-            if not len(y):
-                continue
-            lo, hi = np.searchsorted(hashes, sets[x], "left"), np.searchsorted(hashes, sets[x], "right")
-            many = hi - lo
-            at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            both = np.bincount(owners[at], minlength=len(ids))[y]
-            for z in y[similar(n[x], n[y], both)]:
-                if root[z] != root[x]:
-                    a.append(ids[x])
-                    b.append(ids[z])
-                    root[root == root[z]] = root[x]
+        if len(left) and len(right):
+            hashes = np.concatenate([sets[r] for r in right])
+            owners = np.repeat(right, [len(sets[r]) for r in right])
+            order = np.argsort(hashes, kind="stable")
+            hashes, owners = hashes[order], owners[order]
+            _, root = np.unique(comp, return_inverse=True)
+            for x in left:
+                y = right[(root[right] != root[x]) & _fits(n[right], n[x])]
+                if not len(y):
+                    continue
+                lo, hi = np.searchsorted(hashes, sets[x], "left"), np.searchsorted(hashes, sets[x], "right")
+                many = hi - lo
+                at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                both = np.bincount(owners[at], minlength=len(ids))[y]
+                for z in y[similar(n[x], n[y], both)]:
+                    if root[z] != root[x]:
+                        a.append(ids[x])
+                        b.append(ids[z])
+                        root[root == root[z]] = root[x]
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -360,7 +352,7 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     tiles = tiles.select("key", "band", "c", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     together = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     tiles = tiles.join(classes.select("c", "n", "values"), "c")
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.schema)
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.schema if f.name not in ("values", "band"))
     tiles = stable(together(tiles).mapInArrow(_open, kind))
     if not tiles.isEmpty():
         more = together(tiles.join(exact.sets(tiles), "c")).mapInArrow(_confirmed, "a long, b long")
