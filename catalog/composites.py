@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.aggregates import LATEST_SQL, LOSSES_SQL, TRIPLET_LOSS_SQL, rounded, vector_triplets, versions
-from catalog.base import hash_sql, mock_sql, query, seeded_int_sql, seeded_sql, tokens_sql, with_views
+from catalog.base import hash_sql, mock_sql, query, seeded_int_sql, seeded_sql, title_sql, tokens_sql, with_views
 from catalog.relational import AS_OF, _ALLOWED, _ENDS
 from catalog.scalars import (
     DEMAND_SQL, RATIO_SQL, SIMILARITY_SQL, SUGGESTED_SQL, THOMPSON_SQL, YEAR_SQL, _grade_sql,
@@ -13,6 +14,7 @@ from catalog.scalars import (
 from catalog.stop_words import ENGLISH
 from waxworks.functions import text
 from waxworks.functions.money import price_edge, suggested_price
+from waxworks.functions.payload import aspect_columns
 from waxworks.operators import bandit, features, knapsack, metrics, model, prefs, registry, rows, similarity, stock, tfidf, triplets
 from waxworks.operators.ordering import seeded_sample, top_k_per_group
 from waxworks.plans import auctions, intake, ranking, saved, selection
@@ -206,25 +208,35 @@ def _conditioned(c):
     return c.records.join(first, "id")
 
 
-def _features_sql(select: str) -> str:
+def _feature_views(base: str, title: str, digits: int | None = 6) -> dict[str, str]:
+    """CTEs on the relation ``base``: dense features, and the title block as (id, idx, weight) of ``title``."""
+    cut = (lambda x: f"round({x}, {digits})") if digits else (lambda x: x)
     slots = ", ".join(
         [f"{hash_sql('artist', 1000)} AS artist_idx", f"{hash_sql('label', 500)} AS label_idx"]
         + [f"{hash_sql(f'genres[{i}]', 100)} AS genre_{i}" for i in (1, 2, 3)]
         + [f"{hash_sql(f'styles[{i}]', 200)} AS style_{i}" for i in (1, 2, 3)]
     )
-    scaled = ", ".join(f"round(({n} - min({n}) OVER ()) / (max({n}) OVER () - min({n}) OVER ()), 6) AS {n}_n" for n in ("wants", "haves", "ratio", "price"))
+    scaled = ", ".join(
+        cut(f"coalesce(({n} - min({n}) OVER ())::DOUBLE / nullif(max({n}) OVER () - min({n}) OVER (), 0), 0.0)") + f" AS {n}_n" for n in ("wants", "haves", "ratio", "price")
+    )
     year = YEAR_SQL.format(y="year").replace("hi", "max(year) OVER ()").replace("lo)", "min(year) OVER ())").replace("= lo", "= min(year) OVER ()").replace(", lo", ", min(year) OVER ()")
     grades = ", ".join(f"CASE WHEN g = {i + 1} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {n}" for i, n in enumerate(features.CONDITION_COLUMNS))
+    return {
+        "num": f"SELECT *, {RATIO_SQL} AS ratio, {_PRICE} AS price, {_grade_sql('media_condition')} AS g FROM {base}",
+        "feat": f"SELECT id, {slots}, {scaled}, {cut(year)} AS year_n, {grades} FROM num",
+        "d": f"SELECT id, {tokens_sql(title)} AS tokens FROM {base} WHERE len({tokens_sql(title)}) > 0",
+        "terms": terms_sql("d", 1000),
+        "v": vectors_sql("d"),
+        "places": "SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM terms",
+    }
+
+
+def _features_sql(select: str) -> str:
     return with_views(
         "records listings", select,
         {
             "cond": _CONDITIONED,
-            "num": f"SELECT *, {RATIO_SQL} AS ratio, {_PRICE} AS price, {_grade_sql('media_condition')} AS g FROM cond",
-            "feat": f"SELECT id, {slots}, {scaled}, round({year}, 6) AS year_n, {grades} FROM num",
-            "d": f"SELECT id, {tokens_sql(mock_sql())} AS tokens FROM cond WHERE len({tokens_sql(mock_sql())}) > 0",
-            "terms": terms_sql("d", 1000),
-            "v": vectors_sql("d"),
-            "places": "SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM terms",
+            **_feature_views("cond", mock_sql()),
             "block": """SELECT id, count(*) AS k, string_agg(idx, ',' ORDER BY idx) AS places, sum(weight) AS w, sum(weight * (idx + 22)) AS s
             FROM v JOIN places USING (term) GROUP BY id""",
         },
@@ -594,15 +606,63 @@ def m16(c):
 # ---------------------------------------------------------------- models
 
 
+def _unpriced(c):
+    return c.records.withColumns({"record_price": F.lit(None).cast("string"), "media_condition": F.lit(None).cast("string")})
+
+
 def _design(c):
-    base = c.records.withColumns({"record_price": F.lit(None).cast("string"), "media_condition": F.lit(None).cast("string")})
-    return selection.record_features(base)
+    return selection.record_features(_unpriced(c))
 
 
-def _fitted(c):
+def _labelled_rows(c):
     designed = _design(c)
-    labelled = designed.filter("evaluated").select("id", "wanted", "x")
-    return designed, model.fit_keeper_model(model.training_rows(labelled, "wanted", F.col("id")))
+    return designed, model.training_rows(designed.filter("evaluated").select("id", "wanted", "x"), "wanted", F.col("id"))
+
+
+def _fitted(c):
+    designed, rows_ = _labelled_rows(c)
+    return designed, model.fit_keeper_model(rows_)
+
+
+def _ruled(n: int = 0) -> model.KeeperModel:
+    """A model whose weights and precisions follow a rule, so that SQL can say what it gives."""
+    slots = np.arange(model.width())
+    return model.KeeperModel(((slots * 7919 + n * 613) % 2001 - 1000) / 4000.0, 1.0 + (slots * 104729) % 13)
+
+
+def _saved(c) -> model.KeeperModel:
+    """The ruled model, written under a version and read back as the newest active one."""
+    folder = scratch_path(c.spark, "model")
+    for day, n in ((2, 0), (1, 5)):  # an older one is written later
+        saved.save_model(_ruled(n), c.spark, folder, F.timestamp_seconds(F.lit(day * 86400)))
+    return saved.latest_model(c.spark, folder)
+
+
+_BARE = "SELECT *, CAST(NULL AS VARCHAR) AS record_price, CAST(NULL AS VARCHAR) AS media_condition FROM records"
+
+
+def _entries_sql(base: str = _BARE, title: str | None = None) -> dict[str, str]:
+    """CTEs that end in ``x`` (id, slot, value), the model's input."""
+    parts = ["SELECT id, 0 AS slot, 1.0::DOUBLE AS value FROM feat"]
+    parts += [f"SELECT id, {1 + i}, {n} FROM feat WHERE {n} <> 0" for i, n in enumerate(model.PLAIN)]
+    at = model.FIRST_CATEGORY
+    for name, size in model.CATEGORIES:
+        parts.append(f"SELECT id, {at} + {name}, 1.0::DOUBLE FROM feat WHERE {name} > 0")
+        at += size
+    parts.append(f"SELECT id, {at} + idx, weight FROM v JOIN places USING (term)")
+    return {"bare": base, **_feature_views("bare", title or mock_sql(), None), "x": " UNION ALL ".join(parts)}
+
+
+def _scored_sql(n: int = 0) -> str:
+    """(id, mean, uncertainty) of a ruled model over ``x``; slots in order, so that sums repeat."""
+    w, p = f"((slot * 7919 + {n * 613}) % 2001 - 1000) / 4000.0::DOUBLE", "(1.0::DOUBLE + (slot * 104729) % 13)"
+    return f"""SELECT id, p AS mean, sqrt(p * (1 - p) * p * (1 - p) * u + 0.000001::DOUBLE) AS uncertainty FROM (
+      SELECT id, 1 / (1 + exp(-z)) AS p, u FROM (SELECT id, sum(value * {w}) AS z, sum(value * value / {p}) AS u FROM x GROUP BY id))"""
+
+
+_SPLIT = """SELECT id, wanted, CASE WHEN row_number() OVER (ORDER BY id) - 1 < floor(count(*) OVER () * 0.6) THEN 'train'
+ WHEN row_number() OVER (ORDER BY id) - 1 < floor(count(*) OVER () * 0.8) THEN 'val' ELSE 'test' END AS part,
+ row_number() OVER (ORDER BY id) - 1 >= floor(count(*) OVER () * 0.8) AS is_val FROM records WHERE evaluated"""
 
 
 @query("m14_fit_keeper_model")
@@ -612,12 +672,63 @@ def m14(c):
     return c.spark.createDataFrame(rows_, "round int, train_loss double, val_loss double, val_accuracy double")
 
 
+@query(
+    "m14_gradient_step",
+    with_views(
+        "records",
+        """SELECT slot::INT AS slot, round(sum(CASE WHEN is_val THEN 0 ELSE value * w * (y - mean) END), 6) AS gradient,
+        round(sum(CASE WHEN is_val THEN 0 ELSE value * value * w * mean * (1 - mean) END), 6) AS curvature FROM x JOIN r USING (id) GROUP BY slot""",
+        {
+            **_entries_sql(), "s": _scored_sql(), "parts": _SPLIT,
+            "r": "SELECT id, is_val, mean, wanted::INT AS y, CASE WHEN wanted THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s JOIN parts USING (id)",
+        },
+    ),
+)
+def m14_step(c):
+    _, rows_ = _labelled_rows(c)
+    found = model.slot_sums(rows_, [model.Point(_ruled().weights, 2.5)])
+    return rounded(found.select("slot", F.col("gradient0").alias("gradient"), F.col("curvature0").alias("curvature")), "gradient", "curvature")
+
+
 @query("m4_score_records")
 def m4(c):
     designed, fitted = _fitted(c)
     return rounded(model.score(designed.select("id", "x"), fitted), "mean", "uncertainty").drop("x")
 
 
+@query(
+    "m4_score_saved_model",
+    with_views("records", "SELECT id, round(mean, 6) AS mean, round(uncertainty, 6) AS uncertainty FROM s", {**_entries_sql(), "s": _scored_sql()}),
+)
+def m4_saved(c):
+    return rounded(model.score(_design(c).select("id", "x"), _saved(c)), "mean", "uncertainty").drop("x")
+
+
+_AUCTION_RECORDS = """SELECT a.ebay_id AS id, m.artist, m.album AS title, m.label, [m.genre] AS genres, [m.style] AS styles, TRY_CAST(m.year AS INT) AS year,
+ a.bid_count AS wants, 0 AS haves, a.price AS record_price, m.record_condition AS media_condition, a.title AS own_title
+ FROM auctions a JOIN metadata m USING (ebay_id)"""
+
+
+@query(
+    "m4_score_auctions",
+    with_views(
+        "auctions metadata", "SELECT id AS ebay_id, round(mean, 6) AS mean, round(uncertainty, 6) AS uncertainty FROM s",
+        {**_entries_sql(_AUCTION_RECORDS, title_sql("own_title")), "s": _scored_sql()},
+    ),
+)
+def m4_auctions(c):
+    """Auctions as records: their aspects, and their own titles in the title block."""
+    parsed = c.aspects.select("ebay_id", *[v.alias(k) for k, v in aspect_columns(F.col("aspects")).items()]).withColumnRenamed("title", "_title")
+    known = c.auctions.join(parsed, "ebay_id")
+    records = known.select(
+        F.col("ebay_id").alias("id"), "artist", F.col("album").alias("title"), "label", F.array("genre").alias("genres"), F.array("style").alias("styles"),
+        F.expr("try_cast(year AS int)").alias("year"), F.col("bid_count").alias("wants"), F.lit(0).alias("haves"), F.col("price").alias("record_price"),
+        F.col("record_condition").alias("media_condition"), c.auctions["title"].alias("own_title"),
+    )
+    designed = selection.record_features(records, auction_title="own_title")
+    return rounded(model.score(designed.select(F.col("id").alias("ebay_id"), "x"), _saved(c)), "mean", "uncertainty").drop("x")
+
+
 @query(
     "m4_score_without_model",
     with_views("records", "SELECT id, 0.5::DOUBLE AS mean, CAST(NULL AS DOUBLE) AS uncertainty FROM records"),
@@ -626,12 +737,56 @@ def m4_none(c):
     return model.score(_design(c), None).select("id", "mean", "uncertainty")
 
 
+def _fresh(c, designed):
+    """The feedback on known records as (x, y)."""
+    fresh = c.feedback.select("record_id", "actual").join(designed.select(F.col("id").alias("record_id"), "x"), "record_id")
+    return fresh.select("x", F.col("actual").cast("double").alias("y"))
+
+
 def _updated(c):
     designed, fitted = _fitted(c)
-    fresh = c.feedback.select("record_id", "actual").join(
-        designed.select(F.col("id").alias("record_id"), "x"), "record_id"
+    return model.update_keeper_model(fitted, _fresh(c, designed))
+
+
+_FRESH_SQL = {
+    **_entries_sql(), "s": _scored_sql(),
+    "f": "SELECT instance_id, record_id AS id, actual::INT AS y, mean FROM feedback JOIN s ON id = record_id",
+    "balance": "SELECT least((count(*) - sum(y)) / (sum(y) + 0.000001::DOUBLE), 10.0) AS pos FROM f",
+    "r": "SELECT f.*, CASE WHEN y > 0 THEN pos ELSE 1.0 END AS w FROM f, balance",
+}
+
+
+@query(
+    "m15_update_step",
+    with_views(
+        "records feedback",
+        """SELECT slot::INT AS slot, round(sum(value * w * (y - mean)), 5) AS gradient,
+        round(1 + (slot * 104729) % 13 + sum(value * value * w * mean * (1 - mean)), 5) AS precision FROM x JOIN r USING (id) GROUP BY slot""",
+        _FRESH_SQL,
+    ),
+)
+def m15_step(c):
+    """The first step of an update of the saved model: where its weights are drawn, and the precision it would have."""
+    prior, rows_ = _saved(c), _fresh(c, _design(c)).withColumn("is_val", F.lit(False)).persist()
+    found = model.slot_sums(rows_, [model.Point(prior.weights, model.positive_weight(rows_))])
+    was = prior.to_rows(c.spark).select("slot", "precision")
+    return found.join(F.broadcast(was), "slot").select(  # one row for each slot
+        "slot", F.round("gradient0", 5).alias("gradient"), F.round(F.col("precision") + F.col("curvature0"), 5).alias("precision")
     )
-    return model.update_keeper_model(fitted, fresh.select("x", F.col("actual").cast("double").alias("y")))
+
+
+@query(
+    "a18_loss_of_saved_model",
+    with_views(
+        "records feedback",
+        "SELECT round(avg(-w * (y * ln(mean) + (1 - y) * ln(1 - mean))), 6) AS average_loss, count(*) AS instances_processed FROM r",
+        _FRESH_SQL,
+    ),
+)
+def a18_saved(c):
+    prior, rows_ = _saved(c), _fresh(c, _design(c)).withColumn("is_val", F.lit(False)).persist()
+    found = model.slot_sums(rows_, [model.Point(prior.weights, model.positive_weight(rows_))]).filter("slot = 0")  # every row has this entry once
+    return found.select(F.round(F.col("train_loss0") / F.col("n_train"), 6).alias("average_loss"), F.col("n_train").alias("instances_processed"))
 
 
 @query("m15_update_model")
@@ -672,11 +827,30 @@ def m17(c):
 
 @query("m20_compare_models")
 def m20(c):
-    labelled = _design(c).drop("x").filter("evaluated")
-    found = model.compare_models(labelled, "wanted", F.col("id"))
+    found = model.compare_models(_design(c).filter("evaluated"), "wanted", F.col("id"))
     return rounded(found, "accuracy", "precision", "recall", "f1", "mean_uncertainty").limit(3)
 
 
+@query(
+    "m20_metrics_of_saved_models",
+    with_views(
+        "records",
+        """SELECT name, round((tp + tn)::DOUBLE / n, 6) AS accuracy, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0), 6) AS precision,
+        round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0), 6) AS recall, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1,
+        round(u, 6) AS mean_uncertainty FROM (
+          SELECT name, count(*) AS n, count(*) FILTER (mean > 0.5 AND wanted) AS tp, count(*) FILTER (mean > 0.5 AND NOT wanted) AS fp,
+            count(*) FILTER (mean <= 0.5 AND wanted) AS fn, count(*) FILTER (mean <= 0.5 AND NOT wanted) AS tn, avg(uncertainty) AS u
+          FROM scored JOIN parts USING (id) WHERE part = 'test' GROUP BY name)""",
+        {**_entries_sql(), "parts": _SPLIT, "scored": " UNION ALL ".join(f"SELECT 'model {n}' AS name, * FROM ({_scored_sql(n)})" for n in range(5))},
+    ),
+)
+def m20_saved(c):
+    designed = _design(c).filter("evaluated")
+    rows_ = model.training_rows(designed, "wanted", F.col("id"), cuts=(0.6, 0.8), names=("train", "val", "test")).filter("split = 'test'")
+    found = model.metrics_of(rows_, {f"model {n}": _ruled(n) for n in range(5)})
+    return rounded(found, "accuracy", "precision", "recall", "f1", "mean_uncertainty")
+
+
 # ---------------------------------------------------------------- funnels, snapshots
 
 
@@ -705,8 +879,7 @@ def m18_scored(c):
 @query("m6_labelling_batch")
 def m6_labelling(c):
     _, fitted = _fitted(c)
-    base = c.records.withColumns({"record_price": F.lit(None).cast("string"), "media_condition": F.lit(None).cast("string")})
-    return selection.labelling_batch(base, fitted, batch_number=10, seed=6)
+    return selection.labelling_batch(_unpriced(c), fitted, batch_number=10, seed=6)
 
 
 @query(

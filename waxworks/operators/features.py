@@ -80,9 +80,9 @@ def title_documents(df: DataFrame, auction_title: str | None = None) -> DataFram
     return df.select("id", usable(title_words(title)).alias("tokens"))
 
 
-def fit_titles(df: DataFrame, max_features: int = TITLE_TERMS) -> DataFrame:
+def fit_titles(df: DataFrame, max_features: int = TITLE_TERMS, auction_title: str | None = None) -> DataFrame:
     """The vocabulary of the records' titles."""
-    return fit_tfidf(title_documents(df), max_features)
+    return fit_tfidf(title_documents(df, auction_title), max_features)
 
 
 def with_titles(df: DataFrame, terms: DataFrame, auction_title: str | None = None, max_features: int = TITLE_TERMS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waxworks.functions.text import raw_title, title_words
-from waxworks.operators.model import BUCKETS, KeeperModel
+from waxworks.operators.model import KeeperModel
 from waxworks.operators.registry import latest_active, new_version
 from waxworks.operators.tfidf import fit_tfidf, usable
 from waxworks.session import stable
@@ -59,6 +59,6 @@ def latest(spark: SparkSession, folder: str) -> DataFrame | None:
     return None if version == "none" else spark.read.parquet(f"{folder}/version={version}")
 
 
-def latest_model(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> KeeperModel | None:
+def latest_model(spark: SparkSession, folder: str) -> KeeperModel | None:
     rows = latest(spark, folder)
-    return None if rows is None else KeeperModel.from_rows(rows, buckets)
+    return None if rows is None else KeeperModel.from_rows(rows)

@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from waxworks.functions.seeded import seeded_key
 from waxworks.operators.bandit import select_batch
-from waxworks.operators.features import fit_features, transform_features
+from waxworks.operators.features import fit_features, fit_titles, transform_features, with_titles
 from waxworks.operators.model import KeeperModel, design, score
 from waxworks.operators.ordering import seeded_sample
-from waxworks.sources.tables import spread
 
 LATEST, TOP, CANDIDATES = 500, 50, 1000
 
 
-def record_features(records: DataFrame, fitted: DataFrame | None = None, buckets: int = 8) -> DataFrame:
-    """Records with dense features and the model's design vector."""
+def record_features(records: DataFrame, fitted: DataFrame | None = None, terms: DataFrame | None = None, auction_title: str | None = None) -> DataFrame:
+    """Records with dense features, the block of their titles and the model's design.
+
+    Ranges and vocabulary are fitted on the records themselves unless given. Where the column
+    ``auction_title`` has a text, that is a record's title.
+    """
     fitted = fit_features(records) if fitted is None else fitted
-    return design(transform_features(spread(records, "id"), fitted), buckets)
+    terms = fit_titles(records, auction_title=auction_title) if terms is None else terms
+    return design(with_titles(transform_features(records, fitted), terms, auction_title))
 
 
 def pick_of_the_day(listings: DataFrame, scores: DataFrame, seed, latest: int = LATEST, top: int = TOP) -> DataFrame:
@@ -35,7 +39,7 @@ def pick_of_the_day(listings: DataFrame, scores: DataFrame, seed, latest: int =
 def labelling_batch(records: DataFrame, model: KeeperModel | None, batch_number: int, seed=0) -> DataFrame:
     """The next batch to label: a random thousand unevaluated records, scored, then selected."""
     pool = seeded_sample(records.filter(~F.col("evaluated")), "id", CANDIDATES, seed)
-    featured = record_features(pool, fit_features(records)).select("id", "x")
+    featured = record_features(pool, fit_features(records), fit_titles(records)).select("id", "x")
     scored = score(featured, model).select(
         "id", "mean", F.coalesce("uncertainty", F.lit(0.0)).alias("uncertainty")
     )
