@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import query, with_views
+from catalog.composites import _design, _ruled
 from catalog.relational import ANNOTATED_SQL, annotations, unlabelled
+from catalog.thresholds import _F1, _PR, _best, _counts
 from waxworks.session import scratch_path
+from waxworks.streaming import chain
 from waxworks.streaming import feedback as fb
 
 
@@ -34,6 +37,33 @@ def r1(c):
     return c.spark.read.parquet(f"{base}/out").filter("not late").drop("uncertainty", "batch_size", "late")
 
 
+_WHOLE = """SELECT batch_number // 5 AS buffer FROM feedback_batches GROUP BY 1 HAVING count(DISTINCT batch_number) = 5"""
+
+
+@query(
+    "r1_model_updates",
+    with_views(
+        "feedback_batches records",
+        """SELECT 'keeper' AS model, buffer, instances, n_rows, best.threshold, best.f1_score FROM used JOIN best USING (buffer)""",
+        {
+            "whole": _WHOLE,
+            "used": """SELECT buffer, count(*) AS instances, count(r.id) AS n_rows FROM feedback_batches f JOIN whole ON buffer = batch_number // 5
+            LEFT JOIN records r ON r.id = f.record_id GROUP BY buffer""",
+            "recent": """SELECT buffer, predicted_prob, actual FROM whole JOIN feedback_batches f ON f.batch_number // 5 <= buffer AND f.batch_number // 5 > buffer - 6
+            QUALIFY row_number() OVER (PARTITION BY buffer ORDER BY batch_number DESC, instance_id DESC) <= 500""",
+            "counts": _counts("recent", "buffer"), "pr": _PR, "scored": _F1, "best": _best("buffer"),
+        },
+    ),
+)
+def r1_updates(c):
+    """Every whole buffer of the feed, applied to a saved model by the chain: rows used, threshold and F1."""
+    base = scratch_path(c.spark, "chain")
+    designed = _design(c).select(F.col("id").alias("record_id"), "x")
+    chain.run_chain(_feed(c, base), designed, f"{base}/out", f"{base}/checkpoint", _ruled())
+    found = chain.versions(c.spark, f"{base}/out")
+    return found.select("model", "buffer", "instances", "n_rows", "threshold", F.round("f1_score", 6).alias("f1_score"))
+
+
 @query(
     "r2_streaming_accuracy",
     with_views("batch_performance", "SELECT batch_number, correct, total, round(accuracy, 6) AS accuracy FROM batch_performance"),

@@ -102,6 +102,7 @@ def test_sums_of_a_pass(rows):
 def test_search_reaches_the_dense_optimum(rows):
     x, y, val = _local(rows)
     x, y = x[~val], y[~val]
+    x = x[:, x.any(axis=0)][:, :300]  # a dense Newton step on every slot would take its time
     w = np.where(y > 0, 2.0, 1.0)
     for l2 in (0.5, 5.0):
         search = model.Search(np.zeros(x.shape[1]), np.full(x.shape[1], l2))

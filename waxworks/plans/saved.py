@@ -1,20 +1,22 @@
 """Saved vocabularies and models: written under a version, read back by the newest active one.
 
-A version is a folder of Parquet; the registry beside it is append-only.
+A version is a folder of Parquet. The log beside it holds one entry for each version, with the version
+that is active after it; an entry is put only where none is, so writers that overlap can't both win.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waxworks.functions.text import raw_title, title_words
 from waxworks.operators.model import KeeperModel
-from waxworks.operators.registry import latest_active, new_version
+from waxworks.operators.registry import new_version
 from waxworks.operators.tfidf import fit_tfidf, usable
 from waxworks.session import stable
-from waxworks.sources.sinks import save_version
+from waxworks.sources.commits import CommitLog
 
 VOCABULARY_SIZE = 10_000
 
@@ -27,10 +29,23 @@ def keeper_documents(records: DataFrame) -> DataFrame:
 
 
 def _save(table: DataFrame, stats: Column, folder: str, moment: Column) -> str:
-    entry = table.sparkSession.range(1).select(*new_version(moment, stats))
-    version = entry.first()["version"]
-    save_version(table, entry, folder, version)
-    return version
+    """Writes the table, then commits it; the newest by its time is active, whatever the order of the commits.
+
+    A writer that finds its number taken reads the newer state and tries the next. A table whose writer
+    died before its commit is in no entry, so no reader sees it.
+    """
+    spark = table.sparkSession
+    made = spark.range(1).select(*new_version(moment, stats)).withColumn("at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()
+    path = f"{folder}/version={made['version']}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    own = {"version": made["version"], "created_at": made["at"], "training_stats": made["training_stats"], "path": path}
+    log = CommitLog(spark, f"{folder}_log")
+    while True:
+        n, state = log.state()
+        rank = lambda e: (e["created_at"], e["version"])
+        active = own if state is None or rank(own) >= rank(state["active"]) else state["active"]
+        if log.commit(n + 1, {"entry": own, "active": active}):
+            return made["version"]
 
 
 def rebuild_vocabulary(records: DataFrame, folder: str, moment: Column, max_features: int = VOCABULARY_SIZE) -> str:
@@ -49,14 +64,8 @@ def save_model(model: KeeperModel, spark: SparkSession, folder: str, moment: Col
 
 def latest(spark: SparkSession, folder: str) -> DataFrame | None:
     """Table of the newest active version, None when nothing has been saved."""
-    try:
-        registry = spark.read.parquet(f"{folder}_registry")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":  # a damaged or forbidden registry is not an empty one
-            raise
-        return None
-    version = latest_active(registry).first()["version"]
-    return None if version == "none" else spark.read.parquet(f"{folder}/version={version}")
+    _, state = CommitLog(spark, f"{folder}_log").state()
+    return None if state is None else spark.read.parquet(state["active"]["path"])
 
 
 def latest_model(spark: SparkSession, folder: str) -> KeeperModel | None:
