@@ -260,6 +260,32 @@ def test_best_cosine_against_brute_force(spark, monkeypatch, pieces):
     assert sorted(r["position"] for r in top) == list(range(10))
 
 
+def test_bounds_leave_most_blocks_out(spark, monkeypatch):
+    """Titles of many artists: work grows far less than candidates times keepers, and no score changes."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(similarity, "ROWS_PER_BLOCK", 16)
+
+    def title():
+        artist = int(rng.integers(0, 60))
+        return " ".join([f"artist{artist}", *[f"w{artist}x{j}" for j in rng.integers(0, 9, 3)], *rng.choice(["live", "best", "songs"], 2)])
+
+    met = []
+    for size in (150, 600):
+        cands, keeps = [(i, title()) for i in range(size)], [(i, title()) for i in range(size)]
+        c, k = (spark.createDataFrame(x, "id long, title string") for x in (cands, keeps))
+        pairs, plain = [], similarity._compared
+        monkeypatch.setattr(similarity, "_compared", lambda p, a, b: pairs.append(p.count()) or plain(p, a, b))
+        got = {r["id"]: r["score"] for r in similarity.similarity_scores(c, k).collect()}
+        assert got == pytest.approx(_brute_scores(cands, keeps, 10_000))
+        best = sorted(got.values(), reverse=True)[:20]
+        assert sorted((r["score"] for r in similarity.similarity_filter(c, k, n=20).collect()), reverse=True) == pytest.approx(best)
+        monkeypatch.setattr(similarity, "_compared", plain)
+        met.append(sum(pairs[:2]))
+        assert sum(pairs[2:]) <= met[-1]  # the bound of the best twenty leaves out more
+    blocks = [150 / 16, 600 / 16]
+    assert met[1] / met[0] < 0.6 * (600 * blocks[1]) / (150 * blocks[0]) and met[1] < 0.4 * 600 * blocks[1]
+
+
 # ---------------------------------------------------------------- stock
 
 

@@ -67,9 +67,10 @@ def tfidf_vectors(docs: DataFrame, terms: DataFrame, max_features: int = 1000, d
     vocabulary = vocabulary_side(terms.select("term", "idf", "idx"), max_features)
     counts = entries(docs).withColumn("tf", F.lit(1)) if distinct else _counts(docs)
     raw = counts.join(vocabulary, "term").select("id", F.struct("idx", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
-    packed = raw.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e"))
-    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    return packed.withColumn("_len", length).select(
+    # The length is a sum beside the list: as an expression over the list it would be computed for each entry.
+    length = F.sqrt(F.sum(F.col("e.w") * F.col("e.w")))
+    packed = raw.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e"), length.alias("_len"))
+    return packed.select(
         "id",
         F.transform("e", lambda x: x["idx"]).alias("idx"),
         F.transform("e", lambda x: x["w"] / F.col("_len")).alias("weight"),
