@@ -36,3 +36,10 @@ def test_same_as_brute_force(spark, monkeypatch):
 def test_small_tables(spark):
     assert run(spark, [], 3) == [] and run(spark, [(7, [1.0])], 3) == [] and run(spark, [(1, [1.0]), (2, [1.0])], 3) == []
     assert run(spark, [(7, [1.0]), (8, [0.5])], 3) == [(7, 1, 8, 64 * 32)]
+
+
+def test_repeated_queries_get_the_results_of_each(spark):
+    rnd = random.Random(2)
+    rows = [(i, [rnd.random() for _ in range(4)]) for i in range(30)] + [(0, [0.5, -1.0, 0.25, 2.0]), (7, [rnd.random() for _ in range(4)])]
+    assert run(spark, rows, 20) == brute(rows, 20, lambda q: q % 7 == 0)
+    assert sum(r[0] == 0 for r in run(spark, rows, 20)) == 40

@@ -105,14 +105,14 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             scores, ids = _scores(row)
             lows, _, needs = _arrays(row)
-            own = np.frombuffer(row["query_ids"], np.int64)
             order = np.argsort(ids, kind="stable")
             scores, ids = scores[:, order], ids[order]
             tied = scores == lows[:, None]
             take = (scores > lows[:, None]) | (tied & (np.cumsum(tied, axis=1) <= needs[:, None]))
             q, c = np.nonzero(take)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[q]), pa.array(ids[c]), pa.array(scores[q, c].astype(np.int64))], names=["query_id", "vec_id", "score"]
+                [pa.array(np.full(len(q), row["query_block"])), pa.array(q.astype(np.int32)), pa.array(np.frombuffer(row["query_ids"], np.int64)[q]), pa.array(ids[c]), pa.array(scores[q, c].astype(np.int64))],
+                names=["query_block", "q", "query_id", "vec_id", "score"],
             )
 
 
@@ -126,7 +126,8 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = K, key: str = "vec_id",
 
     Rows with a null id, a null vector, or null or non-finite components take no part. Vectors of
     different lengths are compared as if the shorter ended in zeros. Rows with an id equal to the query's
-    count as its own; other repeated rows are candidates each. Fewer than ``k`` candidates are all
+    count as its own; other repeated rows are candidates each, and an id in several query rows gets the
+    results of each of them. Fewer than ``k`` candidates are all
     returned; no candidates or queries give no rows. Other columns are ignored. Scores from 2**53 on
     raise an error.
     """
@@ -162,19 +163,19 @@ def exact_topk(df: DataFrame, is_query: Column, k: int = K, key: str = "vec_id",
             "query_block", "q",  # no bin reaches k: every candidate is wanted
             F.coalesce("low2", F.col("low") - 1).alias("low"), F.coalesce("width2", F.lit(1.0)).alias("width"), F.coalesce("need2", "need").alias("need"),
         ))
-    best = blocks().mapInArrow(_chosen, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = blocks().mapInArrow(_chosen, "query_block long, q int, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_block", "q").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 _SQL = """
 WITH w AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
   FROM w q JOIN w c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
