@@ -63,3 +63,9 @@ def test_turns_of_odd_rows(spark):
 def test_no_python_in_the_plan(spark, folder):
     plan = cf.op1(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_own_layout_keeps_its_roles(spark):
+    rows = spark.createDataFrame([(1, 0, "human", "a"), (1, 1, "Bot", "b"), (1, 2, "gpt", "c")], "conv_id long, turn int, role string, text string")
+    got = cf.format_chats(cf.from_turns(rows)).select(cf.read_turns(F.col("formatted")).alias("t")).first()["t"]
+    assert [t["role"] for t in got] == ["human", "Bot", "gpt"]

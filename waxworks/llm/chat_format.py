@@ -27,6 +27,7 @@ class Messages:
     role: str
     text: str
     extra: tuple[str, ...] = ()
+    foreign: bool = True  # roles may have other names; in the layout of our own they stay as they are
 
     def shapes(self):
         for n in range(len(self.extra) + 1):
@@ -37,10 +38,8 @@ class Messages:
     def turns(self, record: Column) -> Column:
         got = F.try_variant_get(record, f"$.{self.field}", f"array<struct<{self.role}: string, {self.text}: string>>")
         names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
-        return F.transform(
-            F.filter(got, lambda m: m.isNotNull()),
-            lambda m: _turn(F.coalesce(F.try_element_at(names, F.lower(m[self.role])), m[self.role]), m[self.text]),
-        )
+        named = lambda role: F.coalesce(F.try_element_at(names, F.lower(role)), role) if self.foreign else role
+        return F.transform(F.filter(got, lambda m: m.isNotNull()), lambda m: _turn(named(m[self.role]), m[self.text]))
 
 
 @dataclass(frozen=True)
@@ -72,7 +71,7 @@ class Fields:
 
 
 LAYOUTS = (
-    Messages("messages", "messages", "role", "content", ("name",)),
+    Messages("messages", "messages", "role", "content", ("name",), foreign=False),
     Messages("conversations", "conversations", "from", "value", ("weight",)),
     Messages("dialogue", "dialogue", "speaker", "text"),
     Fields("instruction", (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), ("system", "input")),
