@@ -33,7 +33,7 @@ def brute(text):
     repeat = len(covered(3))
     failed = len(words) < 50 or 100 * repeat > 50 * len(words)
     share = lambda x: x / max(1, chars)
-    kept = not failed and share(dup_chars) <= qr.LINE_LIMIT and symbols / max(1, len(words)) <= qr.SYMBOL_LIMIT
+    kept = not failed and share(dup_chars) <= qr.LINE_LIMIT
     kept = kept and all(share(sum(len(words[i]) for i in covered(n))) <= limit for n, limit in qr.NGRAM_LIMITS.items())
     return len(words), chars, symbols, dup, repeat, failed, kept
 

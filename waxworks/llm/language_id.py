@@ -263,8 +263,8 @@ def language_id(df: DataFrame, pieces: list[str], model: dict[str, np.ndarray],
     names = sorted(model)
     others = [c for c in df.columns if c not in ("lang_pred", "score")]
     source = df.select(
-        *[F.col(f"`{c}`") for c in others], F.lower(df[text]).alias("__text"),
-        F.coalesce(F.regexp_like(df[text], F.lit(r"\p{L}")), F.lit(False)).alias("__letter"),
+        *tb.numbered(df, others), F.lower(F.col(f"`{text}`")).alias("__text"),
+        F.coalesce(F.regexp_like(F.col(f"`{text}`"), F.lit(r"\p{L}")), F.lit(False)).alias("__letter"),
     )
     chances = np.stack([model[n] for n in names], axis=1) if names else np.empty((0, 0))
     shared = df.sparkSession.sparkContext.broadcast((pieces, chances))
@@ -287,12 +287,12 @@ def language_id(df: DataFrame, pieces: list[str], model: dict[str, np.ndarray],
                     share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                     score = np.where(letter, share, 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(n) for n in others] + [pa.array([*names, UNKNOWN]).take(pa.array(best)), pa.array(score)],
-                    names=[*others, "lang_pred", "score"],
+                    part.columns[:-2] + [pa.array([*names, UNKNOWN]).take(pa.array(best)), pa.array(score)],
+                    names=[*part.schema.names[:-2], "lang_pred", "score"],
                 )
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if not f.name.startswith("__"))
-    return source.mapInArrow(scored, f"{kept}lang_pred string, score double")
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema if not f.name.startswith("__"))
+    return source.mapInArrow(scored, f"{kept}lang_pred string, score double").toDF(*others, "lang_pred", "score")
 
 
 def _held_out(key: Column) -> Column:

@@ -7,14 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from waxworks.llm import textbytes as tb
 from waxworks.llm.registry import query
 
 #: Share of a text's word characters that may lie inside repeated n-grams of so many words.
 NGRAM_LIMITS = {5: 0.35, 8: 0.30, 12: 0.25}
-#: Share of a text's word characters that may lie in lines that repeat an earlier line, and of symbols to words.
-LINE_LIMIT, SYMBOL_LIMIT = 0.30, 0.10
+#: Share of a text's word characters that may lie in lines that repeat an earlier line.
+LINE_LIMIT = 0.30
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 
@@ -86,7 +87,7 @@ def measure(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str,
         "line_coverage": share(total(line_row, again * line_chars)),
     }
     out["symbol_ratio"] = out["n_symbols"] / np.maximum(n_words, 1)
-    good = ~out["base_failed"] & (out["line_coverage"] <= LINE_LIMIT) & (out["symbol_ratio"] <= SYMBOL_LIMIT)
+    good = ~out["base_failed"] & (out["line_coverage"] <= LINE_LIMIT)
     for n, limit in NGRAM_LIMITS.items():
         out[f"coverage_{n}"] = share(total(row, _repeated(hashes, row, n) * chars))
         good &= out[f"coverage_{n}"] <= limit
@@ -110,21 +111,25 @@ def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
     Rolling hashes of runs of 5, 8 and 12 words tell which characters of a text lie inside n-grams that
     the text has more than once, and hashes of lines which lie in repeated lines. A text is kept unless
     the base rules fail it (under 50 words, or over half of them in repeated 3-word windows) or one of
-    these shares, or that of symbols to words, is above its limit.
+    these shares is above its limit. The share of symbols to words is reported only.
 
     Null and empty texts have no words, so they fail; a text is read whole, whatever its length; repeated
     rows get equal results; an empty table gives an empty one. One pass, no shuffle, no state.
     """
     names = {n for n, _ in _FIELDS}
     others = [c for c in df.columns if c not in names]
-    source = df.select(*others, df[text].alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text")
-    return source.mapInArrow(_measured, f"{kept}, {SCHEMA}" if kept else SCHEMA)
+    source = df.select(*tb.numbered(df, others), F.col(f"`{text}`").alias("_text"))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "_text")
+    return source.mapInArrow(_measured, f"{kept}, {SCHEMA}" if kept else SCHEMA).toDF(*others, *[n for n, _ in _FIELDS])
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that ``quality_rules`` keeps, with the columns of ``df``."""
-    source = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(df.columns)], df[text].alias("text"))
+    """The rows that ``quality_rules`` keeps, with the columns of ``df``, whatever their names.
+
+    Each row is judged by its own text: nulls, empty texts and repeated rows as there; an empty table gives
+    an empty one.
+    """
+    source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], F.col(f"`{text}`").alias("text"))
     good = quality_rules(source).filter("kept")
     return good.select(*[good[f"c{i}"].alias(c) for i, c in enumerate(df.columns)])
 

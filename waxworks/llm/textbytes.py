@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once. It bounds memory only; no result depends on it.
 SLICE_BYTES = 2 << 20
@@ -67,6 +69,11 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, starts, ends
 
 
+def numbered(df: DataFrame, names: list[str]) -> list[Column]:
+    """The columns ``names`` under c0, c1, ...: Arrow functions don't take every name, and none may clash with a helper."""
+    return [F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]
+
+
 def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``limit`` bytes; a longer row stands alone."""
     first, total = 0, 0

@@ -149,7 +149,7 @@ def toxicity(df: DataFrame, model: Model, text: str = "text", threshold: float =
     columns named ``score`` or ``predicted`` are replaced, all others stay. One pass, no shuffle.
     """
     others = [c for c in df.columns if c not in ("score", "predicted")]
-    source = df.select(*[F.col(f"`{c}`") for c in others], F.lower(df[text]).alias("__text"))
+    source = df.select(*tb.numbered(df, others), F.lower(F.col(f"`{text}`")).alias("__text"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +163,11 @@ def toxicity(df: DataFrame, model: Model, text: str = "text", threshold: float =
                     total += score_rows(model, maybe, buf, starts, ends)
                 score = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(n) for n in others] + [pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*others, "score", "predicted"]
+                    part.columns[:-1] + [pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*part.schema.names[:-1], "score", "predicted"]
                 )
 
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != "__text")
-    return source.mapInArrow(scored, f"{kept}score double, predicted int")
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema if f.name != "__text")
+    return source.mapInArrow(scored, f"{kept}score double, predicted int").toDF(*others, "score", "predicted")
 
 
 def _held_out(key: Column) -> Column:
