@@ -19,6 +19,7 @@ ROUNDS, SMOOTHING, BYTE_SHARE = 3, 0.05, 1e-4
 UNKNOWN = "und"
 _SLICE = 2 << 20
 _WORDS = 50_000  # words of a forward pass; bounds memory only
+_AREA = 16 * _WORDS  # cells of a chunk of words; what is held of one takes about 100 bytes a cell when fitting
 _CELLS = 250_000  # positions of words whose pieces are looked up at once when fitting; bounds memory only
 
 
@@ -94,7 +95,7 @@ def _chunks(words: list[bytes]) -> Iterator[np.ndarray]:
     order = np.argsort(-sizes, kind="stable")
     at = 0
     while at < len(order):
-        rows = max(1, min(_WORDS, (64 * _WORDS) // (int(sizes[order[at]]) + 1)))
+        rows = max(1, min(_WORDS, (_AREA) // (int(sizes[order[at]]) + 1)))
         yield order[at : at + rows]
         at += rows
 
@@ -171,7 +172,7 @@ def _expected(pieces: Pieces, chance: np.ndarray, words: list[bytes], weight: np
     counts, logs = np.zeros(pieces.size), np.log(chance)
     for at in _chunks(words):
         own, w = [words[i] for i in at.tolist()], weight[at]
-        block, blocks, sizes = _cuts(pieces, own, len(own) * (len(own[0]) + 1) <= 64 * _WORDS)
+        block, blocks, sizes = _cuts(pieces, own, len(own) * (len(own[0]) + 1) <= _AREA)
         fore = np.full((int(sizes[0]) + 1, len(own)), -np.inf)
         back = np.full_like(fore, -np.inf)
         fore[0] = 0.0
