@@ -405,14 +405,17 @@ def t4(c):
 
 # ---------------------------------------------------------------- preferences
 
-_SCORED_RANKS = "SELECT *, 0.33::DOUBLE * embedding + 0.33::DOUBLE * price_diff + 0.34::DOUBLE * demand AS score FROM rankings"
+def _scored_ranks(rankings: str = "rankings") -> str:
+    return f"SELECT *, 0.33::DOUBLE * embedding + 0.33::DOUBLE * price_diff + 0.34::DOUBLE * demand AS score FROM {rankings}"
+
+
 _PAIRS = """SELECT i.session_id, i.pos AS better, j.pos AS worse, i.embedding - j.embedding AS embedding, i.price_diff - j.price_diff AS price_diff,
  i.demand - j.demand AS demand FROM sr i JOIN sr j ON i.session_id = j.session_id AND i.pos < j.pos AND i.score < j.score"""
 
 
 @query(
     "j10_contradicting_pairs",
-    with_views("rankings", "SELECT session_id, better, worse FROM pairs", {"sr": _SCORED_RANKS, "pairs": _PAIRS}),
+    with_views("rankings", "SELECT session_id, better, worse FROM pairs", {"sr": _scored_ranks(), "pairs": _PAIRS}),
 )
 def j10(c):
     return prefs.violations(prefs.usable_rankings(c.rankings)).select("session_id", "better", "worse")
@@ -429,22 +432,43 @@ def _tuned_sql(key: str) -> str:
       greatest(0.34 + 0.1 * avg(demand), 0.0) AS d FROM pairs {group}) {on}"""
 
 
-_TUNE_CTES = {
-    "sizes": "SELECT session_id, count(*) AS n FROM rankings GROUP BY session_id HAVING count(*) >= 2",
-    "sr": _SCORED_RANKS, "pairs": _PAIRS,
-}
+def _tune_ctes(rankings: str = "rankings") -> dict[str, str]:
+    return {
+        "sizes": f"SELECT session_id, count(*) AS n FROM {rankings} GROUP BY session_id HAVING count(*) >= 2",
+        "sr": _scored_ranks(rankings), "pairs": _PAIRS,
+    }
 
 
-@query("m10_tune_weights", with_views("rankings", _tuned_sql("session_id"), _TUNE_CTES))
+@query("m10_tune_weights", with_views("rankings", _tuned_sql("session_id"), _tune_ctes()))
 def m10(c):
     return rounded(prefs.tune_weights(c.rankings), "w_embedding", "w_price_diff", "w_demand")
 
 
-@query("m10_tune_weights_overall", with_views("rankings", _tuned_sql(""), _TUNE_CTES))
+@query("m10_tune_weights_overall", with_views("rankings", _tuned_sql(""), _tune_ctes()))
 def m10_overall(c):
     return rounded(prefs.tune_weights(c.rankings, overall=True), "w_embedding", "w_price_diff", "w_demand")
 
 
+_USER_RANKS = """SELECT split_part(session_id, '-', 1) AS session_id, CAST(split_part(session_id, '-', 2) AS BIGINT) * 10 + pos AS pos,
+ embedding, price_diff, demand FROM rankings"""
+
+
+def _user_rankings(c):
+    """All events of a user as one ranking, of whatever length."""
+    name = F.split("session_id", "-")
+    return c.rankings.select(
+        name[0].alias("session_id"), (name[1].cast("bigint") * 10 + F.col("pos")).alias("pos"), *prefs.AXES
+    )
+
+
+@query(
+    "m10_tune_weights_by_user",
+    with_views("rankings", _tuned_sql("session_id"), {"user_ranks": _USER_RANKS, **_tune_ctes("user_ranks")}),
+)
+def m10_by_user(c):
+    return rounded(prefs.tune_weights(_user_rankings(c)), "w_embedding", "w_price_diff", "w_demand")
+
+
 # ---------------------------------------------------------------- triplets
 
 _SIDES = {

@@ -385,6 +385,47 @@ def test_tune_weights_by_hand(spark):
     assert overall["violations"] == 2 and overall["w_embedding"] == pytest.approx(got[0]["w_embedding"])
 
 
+def _pairwise(x, score, pos):
+    against = (pos[:, None] < pos[None, :]) & (score[:, None] < score[None, :])
+    return int(against.sum()), (x[:, None, :] - x[None, :, :])[against].sum(axis=0)
+
+
+@pytest.mark.parametrize("values", [[], [0], [1, 0], [0, 1], [3, 1, 2, 0, 4]])
+def test_earlier_and_less_by_hand(values):
+    want = [sum(v < w for v in values[:i]) for i, w in enumerate(values)]
+    assert prefs.earlier_and_less(np.array(values, dtype=np.int64)).tolist() == want
+
+
+def test_rankings_of_any_length(spark):
+    """One ranking with most rows, cut into blocks on three levels, beside short ones, ties and bad rows."""
+    rng = np.random.default_rng(3)
+    data = []
+    for name, n in (("hot", 700), ("mid", 33), ("two", 2), ("lone", 1), ("sorted", 60), ("turned", 60)):
+        x = rng.integers(0, 12, (n, 3)) / 8  # scores tie
+        if name in ("sorted", "turned"):
+            x = np.repeat(np.linspace(1, 0, n)[:, None], 3, axis=1)[:: -1 if name == "turned" else 1]
+        pos = rng.integers(0, n // 2, n) if name == "mid" else rng.permutation(n) if name == "hot" else np.arange(n)
+        data += [(name, int(p), *map(float, r)) for p, r in zip(pos, x)]
+    bad = [(None, 0, 1.0, 1.0, 1.0), (None, 1, 1.0, 2.0, 1.0), ("two", None, 1.0, 1.0, 1.0), ("gap", 0, None, 1.0, 1.0), ("gap", 1, 0.1, 1.0, 1.0)]
+    schema = "session_id string, pos int, embedding double, price_diff double, demand double"
+    df = spark.createDataFrame(data + bad, schema)
+    want = {}
+    for name in ("hot", "mid", "two", "sorted", "turned"):
+        mine = [r for r in data if r[0] == name]
+        x = np.array([r[2:] for r in mine])
+        score = 0.33 * x[:, 0] + 0.33 * x[:, 1] + 0.34 * x[:, 2]
+        want[name] = (len(mine) * (len(mine) - 1) // 2, *_pairwise(x, score, np.array([r[1] for r in mine])))
+    assert want["sorted"][1] == 0 and want["turned"][1] == want["turned"][0]
+    for block, fan in ((16384, 16), (16, 4)):
+        got = {r["session_id"]: r for r in prefs.ranking_sums(df, block=block, fan=fan).collect()}
+        assert {k: (r["total_pairs"], r["violations"]) for k, r in got.items()} == {k: v[:2] for k, v in want.items()}
+        for k, r in got.items():
+            assert [r[a] for a in prefs.AXES] == pytest.approx(want[k][2].tolist(), abs=1e-9)
+    pairs = prefs.violations(prefs.usable_rankings(df)).groupBy("session_id").count().collect()
+    assert {r["session_id"]: r["count"] for r in pairs} == {k: v[1] for k, v in want.items() if v[1]}
+    assert prefs.tune_weights(df.limit(0)).count() == 0
+
+
 def _people(spark, n, start=0):
     data = [(start + i, ["g" + str(i % 3)], ["s" + str(i % 5)], "l" + str(i % 4), 1960 + i % 30) for i in range(n)]
     return spark.createDataFrame(data, "id long, genres array<string>, styles array<string>, label string, year int")
