@@ -27,6 +27,7 @@ _TILE = 1024
 #: Shares of the open keys, by hash, after each of which components are joined anew: the first keys of a
 #: large group of near copies unite it, so that the others need no pairs.
 _ROUNDS = (0, 1, 8, 64)
+_SKETCHED = 1024  # rows whose sketches are counted at once
 _FLUSH = 4_000_000  # keys that a task gathers before it sends them on
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -119,27 +120,63 @@ def block_keys(grams: np.ndarray, row: np.ndarray, rows: int, frequent: np.ndarr
     return np.concatenate(out_keys), np.concatenate(out_rows)
 
 
+def sketches(grams: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Parity of each row's number of n-grams on each bit, packed. The Hamming distance of two rows' sketches
+    never exceeds the symmetric difference of their sets."""
+    out = np.zeros((rows, SKETCH_BITS // 8), np.uint8)
+    bit = (grams >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
+    for low in range(0, rows, _SKETCHED):
+        high = min(low + _SKETCHED, rows)
+        i, j = np.searchsorted(row, [low, high])
+        odd = np.bincount((row[i:j] - low) * SKETCH_BITS + bit[i:j], minlength=(high - low) * SKETCH_BITS) & 1
+        out[low:high] = np.packbits(odd.astype(bool)).reshape(high - low, -1)
+    return out
+
+
 def sketch(grams: np.ndarray) -> bytes:
-    """Parity of the number of n-grams on each bit. Their Hamming distance never exceeds the symmetric difference."""
-    bits = np.bincount((grams >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(bool)).tobytes()
+    """The sketch of one set."""
+    return sketches(grams, np.zeros(len(grams), np.int64), 1).tobytes()
 
 
 # ---------------------------------------------------------------- tasks
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size of each row's set, and two sums over its members that tell sets apart."""
-    for batch in batches:
-        for part, buf, starts, ends in tb.sliced(batch):
-            grams, row = shingles(buf, starts, ends)
-            first = np.searchsorted(row, np.arange(len(starts)))
-            size = np.bincount(row, minlength=len(starts))
-            sums = []
-            for salt in (0x2545F491, 0x9E3779B9):
-                run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(grams ^ np.uint64(salt)), dtype=np.uint64)])
-                sums.append(pa.array((run[first + size] - run[first]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size), *sums], names=["id", "n", "s1", "s2"])
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie one after the other and end at these bytes."""
+    offsets = np.concatenate([np.zeros(1, np.int32), ends.astype(np.int32)])
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+_SCANNED = "id long, n long, s1 long, s2 long, mark long, keys binary, sketch binary"
+
+
+def _scanner(shared):
+    """The only pass over all texts: size of each row's set, two sums over its members that tell sets apart, one
+    mark made of these, block keys and sketch."""
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, starts, ends in tb.sliced(batch):
+                rows = len(starts)
+                grams, row = shingles(buf, starts, ends)
+                first = np.searchsorted(row, np.arange(rows))
+                size = np.bincount(row, minlength=rows)
+                sums = []
+                for salt in (0x2545F491, 0x9E3779B9):
+                    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(grams ^ np.uint64(salt)), dtype=np.uint64)])
+                    sums.append(run[first + size] - run[first])
+                mark = tb.mix(sums[0] ^ tb.mix(sums[1] + tb.mix(size.astype(np.uint64))))
+                keys, of = block_keys(grams, row, rows, shared.value)
+                order = np.argsort(of, kind="stable")
+                key_ends = 8 * np.searchsorted(of[order], np.arange(1, rows + 1))
+                bits = sketches(grams, row, rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array(size), *(pa.array(x.view(np.int64)) for x in (*sums, mark)),
+                     _binaries(keys[order], key_ends), _binaries(bits, np.arange(1, rows + 1) * bits.shape[1])],
+                    names=["id", "n", "s1", "s2", "mark", "keys", "sketch"],
+                )
+
+    return scanned
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,39 +189,41 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SENT = "bucket int, keys binary, places binary, ids binary, lefts binary, rights binary"
 
 
-def _sender(shared, buckets: int):
-    """Keys of all rows, packed by bucket. Rows of one task that share a key are tied to the least of them here."""
+def _sender(buckets: int):
+    """Keys of all sets under their marks, packed by bucket. Sets of one task that share a key are tied to the
+    least of them here; equal sets have one mark and are sent once for each task."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
-        for keys, ids in _gathered(batches, frequent):
-            yield from _dealt(*_stars(keys, ids), buckets)
+        for keys, marks in _gathered(batches):
+            yield from _dealt(*_stars(keys, marks), buckets)
 
     return sent
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], frequent: np.ndarray):
-    keys, ids, total, seen = [], [], 0, set()
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a column of packed keys, and how many each row has."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint64), np.array([len(x) // 8 for x in raw], np.int64)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]):
+    keys, marks, total, seen = [], [], 0, np.empty(0, np.int64)
     for batch in batches:
-        for part, buf, starts, ends in tb.sliced(batch):
-            own = part.column("id").to_numpy()
-            grams, row = shingles(buf, starts, ends)
-            edges = np.searchsorted(row, np.arange(len(starts) + 1))
-            fresh = np.zeros(len(starts), bool)  # one of several copies has keys
-            for i in range(len(starts)):
-                mark = hash(grams[edges[i] : edges[i + 1]].tobytes())
-                fresh[i] = mark not in seen
-                seen.add(mark)
-            keep = fresh[row]
-            key, row = block_keys(grams[keep], row[keep], len(starts), frequent)
-            keys.append(key)
-            ids.append(own[row])
-            total += len(key)
-            if total > _FLUSH:
-                yield np.concatenate(keys), np.concatenate(ids)
-                keys, ids, total, seen = [], [], 0, set()
+        if not batch.num_rows:
+            continue
+        own, first = np.unique(batch.column("mark").to_numpy(), return_index=True)
+        fresh = ~np.isin(own, seen)
+        own, first = own[fresh], first[fresh]
+        seen = np.concatenate([seen, own])
+        key, count = _unpacked(batch.column("keys").take(pa.array(first)))
+        keys.append(key)
+        marks.append(np.repeat(own, count))
+        total += len(key)
+        if total > _FLUSH:
+            yield np.concatenate(keys), np.concatenate(marks)
+            keys, marks, total, seen = [], [], 0, np.empty(0, np.int64)
     if total:
-        yield np.concatenate(keys), np.concatenate(ids)
+        yield np.concatenate(keys), np.concatenate(marks)
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -252,13 +291,6 @@ def _members(raw: bytes) -> np.ndarray:
     return shingles(buf, np.array([0]), np.array([len(buf)]))[0]
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    expand = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        out = [sketch(_members(expand(x.as_buffer()))) for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(out, pa.binary())], names=["id", "n", "sketch"])
-
-
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose texts are similar."""
     expand = zstandard.ZstdDecompressor().decompress
@@ -336,21 +368,31 @@ def _bucket_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The similar ones of the pairs. Compressed texts travel; each pair is checked on its own, so no group gathers."""
-    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verified, "a long, b long")
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("head").alias(f"head_{c}"))
+    text = lambda c: texts.select(F.col("id").alias(f"head_{c}"), F.col("text").alias(f"text_{c}"))
+    named = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = named.join(text("b"), "head_b").join(text("a"), "head_a").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_verified, "a long, b long").distinct()
+
+
+def _by_sketch(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs whose sketches don't rule a link out."""
+    side = lambda c: marks.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_allowed, "a long, b long")
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, n_shingles and component_id of every row: the least key that links of similarity 0.75 reach.
 
-    Equal sets form a class with one representative. Keys of blocks (``block_keys``) propose pairs: each
-    class that shares a key with others is paired with the least of them only, and the pairs are verified
-    on whole sets. Where members of a key are then still in different components, all pairs between those
-    components whose bit sketches allow a link are verified too, in tiles of bounded size and in three
-    rounds over the keys, each with the components that the one before it left. So no link
+    One pass over the texts gives for each row the size of its set, the keys of its blocks (``block_keys``) and
+    its sketch. Equal sets form a class, a node of the graph. Keys propose pairs of classes: each class that
+    shares a key with others is paired with one of them only. Pairs that sizes and the Hamming distance of the
+    sketches allow are verified on whole sets. Where members of a key are then still in different components,
+    all pairs between those components that sizes and sketches allow are verified too, in tiles of bounded size
+    and in three rounds over the keys, each with the components that the one before it left. So no link
     between different sets is lost, and no group is expanded into all its pairs. Keys travel in packed
     arrays, one for each task and bucket.
 
@@ -361,73 +403,73 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     spark = df.sparkSession
     rows = df.select(df[key].cast("bigint").alias("id"), F.coalesce(df[text].cast("string"), F.lit("")).alias("text"))
-    info = stable(rows.mapInArrow(_described, "id long, n long, s1 long, s2 long"))
-    usable = info.filter("n > 0 and id is not null")
-    heads = stable(usable.groupBy("n", "s1", "s2").agg(F.min("id").alias("head"), F.count("*").alias("copies")))
-    share = SAMPLE_DOCS / max(1, info.count())
+    share = SAMPLE_DOCS / max(1, rows.count())
     drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(share * (1 << 20)))
     frequent = drawn.mapInArrow(_sampled, "gram long").groupBy("gram").count().filter(F.col("count") >= FREQUENT_FROM)
     frequent = frequent.orderBy(F.desc("count"), "gram").limit(FREQUENT_MOST).select("gram").toPandas()["gram"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))  # at most FREQUENT_MOST
 
     buckets = _bucket_count(df)
-    own = usable.select("id", "n", "s1", "s2").join(heads, ["n", "s1", "s2"])
-    own = stable(own.select("id", "n", "head"))
-
-    def proposed(source: DataFrame) -> DataFrame:
-        return source.mapInArrow(_sender(shared, buckets), _SENT).repartitionById(buckets, "bucket")
-
-    found = proposed(rows.filter("id is not null")).mapInArrow(_paired, "a long, b long").distinct()
-    head = lambda c: own.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("head").alias(f"head_{c}"))
-    found = found.join(head("a"), "a").join(head("b"), "b").filter("head_a <> head_b")
-    found = found.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"), F.least("n_a", "n_b").alias("less"), F.greatest("n_a", "n_b").alias("more"))
-    pairs = stable(found.groupBy("a", "b").agg(F.max(F.expr("100 * less >= 75 * more")).alias("fits")))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stable(rows.filter("id is not null").mapInArrow(_compressed, "id long, text binary").join(wanted, "id"))
-    several = own.groupBy("id").agg(F.min("head").alias("a"), F.count("*").alias("sets")).filter("sets > 1")
-    one_node = own.join(several, "id").select("a", F.col("head").alias("b"))  # equal keys
-    links = stable(_verify(pairs.filter("fits").select("a", "b"), texts).union(one_node))
+    scanned = stable(rows.mapInArrow(_scanner(shared), _SCANNED).withColumn("row", F.monotonically_increasing_id()))
+    usable = scanned.filter("n > 0 and id is not null")
+    same = ["n", "s1", "s2"]
+    classes = usable.groupBy(*same).agg(F.min("row").alias("node"), F.min("id").alias("head"), F.min("mark").alias("mark"))
+    classes = stable(classes)
+
+    sent = usable.select("mark", "keys").mapInArrow(_sender(buckets), _SENT).repartitionById(buckets, "bucket")
+    found = sent.mapInArrow(_paired, "a long, b long").distinct().withColumnsRenamed({"a": "mark_a", "b": "mark_b"})
+    side = lambda c: classes.select(F.col("mark").alias(f"mark_{c}"), F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+    found = found.join(side("a"), "mark_a").join(side("b"), "mark_b")
+    fits = 100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")
+    pairs = stable(found.select("a", "b", fits.alias("fits")))
+    wanted = stable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    marks = join_checked(usable.select(F.col("row").alias("node"), "n", "keys", "sketch"), wanted, ["node"]).withColumnRenamed("node", "id")
+    marks = stable(marks)
+    heads = classes.join(wanted, "node").select(F.col("head").alias("id")).distinct()
+    texts = stable(join_checked(rows.filter("id is not null").mapInArrow(_compressed, "id long, text binary"), heads, ["id"]))
+
+    # Rows with equal keys are one node.
+    owned = usable.select("id", *same).join(classes.select(*same, "node"), same).select("id", "node")
+    one_node = owned.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
+    one_node = owned.join(one_node.select("id", "a"), "id").select("a", F.col("node").alias("b"))
+    links = stable(_verify(_by_sketch(pairs.filter("fits"), marks), classes, texts).union(one_node))
     reached = stable(components(links))
 
     # Keys whose members are in different components even so.
-    current = lambda: stable(wanted.join(reached, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    current = lambda: stable(wanted.join(reached, wanted["node"] == reached["id"], "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("component")))
     comps = current()
     joined = pairs.select("a", "b").join(comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(comps.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
     if joined.filter("ca <> cb").limit(1).count():
-        members, sketches = _open_keys(texts, comps, own.groupBy("id").agg(F.max("n").alias("n")), shared, buckets)
+        members = _open_keys(marks, comps, buckets)
         part = F.pmod(F.xxhash64("key"), F.lit(_ROUNDS[-1]))
         for low, high in zip(_ROUNDS, _ROUNDS[1:]):
-            more = _across(members.filter((part >= low) & (part < high)), sketches, comps)
-            links = stable(links.union(_verify(more, texts)))
+            more = _across(members.filter((part >= low) & (part < high)), marks, comps)
+            links = stable(links.union(_verify(more, classes, texts)))
             reached = stable(components(links))
             comps = current()
-    out = own.join(reached, own["head"] == reached["id"], "left").select(own["id"], F.coalesce("component", "head").alias("component"))
-    out = out.groupBy("id").agg(F.min("component").alias("component"))
-    kept = info.join(out, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return kept
+    named = classes.join(reached, classes["node"] == reached["id"], "left").select(*same, "head", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("head").alias("least"))
+    of_class = named.join(least, "component").select(*same, "least")
+    out = scanned.select("id", *same).join(of_class, same, "left")
+    # Only sets with members and a key have a class of their own.
+    linked = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("least")).otherwise(F.col("id"))
+    shown = F.col("id").alias(key), F.col("n").alias("n_shingles"), linked.alias("component_id")
+    return out.select(*shown)
 
 
-def _keyed(shared, buckets: int = 0):
-    """Key and id of every row of compressed texts; with ``buckets`` key and component, packed by bucket."""
+def _keyed(column: str, buckets: int = 0):
+    """Key and ``column`` of every row of packed keys; with ``buckets`` packed by bucket."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor().decompress
         none = np.empty(0, np.int64)
         for batch in batches:
-            marks, found = [], []
-            for known, text in zip(batch.column("component" if buckets else "id").to_pylist(), batch.column("text")):
-                grams = _members(expand(text.as_buffer()))
-                keys, _ = block_keys(grams, np.zeros(len(grams), np.int64), 1, shared.value)
-                marks.append(np.full(len(keys), known))
-                found.append(keys)
-            if not marks:
-                continue
-            keys, marks = np.concatenate(found), np.concatenate(marks)
-            if buckets:
+            keys, count = _unpacked(batch.column("keys"))
+            marks = np.repeat(batch.column(column).to_numpy(), count)
+            if buckets and len(keys):
                 pairs = np.unique(np.rec.fromarrays([keys, marks]))
                 yield from _dealt(np.ascontiguousarray(pairs.f0), np.ascontiguousarray(pairs.f1), none, none, buckets)
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(marks)], names=["key", "id"])
+            elif not buckets:
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(marks)], names=["key", column])
 
     return keyed
 
@@ -441,27 +483,26 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64))], names=["key"])
 
 
-def _open_keys(texts: DataFrame, comps: DataFrame, sizes: DataFrame, shared, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Key, id and size of the members of keys with several components, and the sketches of those members."""
-    mixed = texts.join(comps, "id").mapInArrow(_keyed(shared, buckets), _SENT).repartitionById(buckets, "bucket").mapInArrow(_crossed, "key long")
-    members = stable(join_checked(texts.mapInArrow(_keyed(shared), "key long, id long"), mixed, ["key"]).join(sizes, "id"))
-    wanted = texts.join(members.select("id", "n").distinct(), "id")
-    return members, stable(wanted.select("id", "n", "text").mapInArrow(_sketched, "id long, n long, sketch binary"))
+def _open_keys(marks: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
+    """Key, id and size of the members of keys with several components."""
+    mixed = marks.select("id", "keys").join(comps, "id").mapInArrow(_keyed("component", buckets), _SENT)
+    mixed = mixed.repartitionById(buckets, "bucket").mapInArrow(_crossed, "key long")
+    members = join_checked(marks.select("id", "keys").mapInArrow(_keyed("id"), "key long, id long"), mixed, ["key"])
+    return stable(members.join(marks.select("id", "n"), "id"))
 
 
-def _across(members: DataFrame, sketches: DataFrame, comps: DataFrame) -> DataFrame:
+def _across(members: DataFrame, marks: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs across components that share a key and that sizes and sketches allow."""
     rows = members.join(comps, "id")
     counts = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
     rows = stable(rows.join(counts.filter("lo < hi"), "key").select("key", "id", "n", "component", "members"))
-    side = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     pairs = rows.filter(F.col("members") <= _FEW).select("key", "id", "component", "n").repartition("key").mapInArrow(_few, "a long, b long").distinct()
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_allowed, "a long, b long")
-    many = rows.filter(F.col("members") > _FEW).drop("n").withColumn("chunks", F.ceil(F.col("members") / _TILE).cast("int"))
+    pairs = _by_sketch(pairs, marks)
+    many = rows.filter(F.col("members") > _FEW).withColumn("chunks", F.ceil(F.col("members") / _TILE).cast("int"))
     many = many.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    many = many.select("key", "id", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    tiles = many.join(sketches, "id").groupBy("key", "i", "j").applyInPandas(_tile, "a long, b long")
+    many = many.select("key", "id", "n", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    tiles = many.join(marks.select("id", "sketch"), "id").groupBy("key", "i", "j").applyInPandas(_tile, "a long, b long")
     return stable(pairs.union(tiles).distinct())
 
 
