@@ -309,9 +309,10 @@ def _vocabulary() -> list[str]:
 def keep_known(df: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of a documents table whose language is recognised with a share of at least ``least``."""
     pieces = _vocabulary()
-    source = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(df.columns)], df["text"])
-    out = language_id(source, pieces, fit(df, pieces, ~_held_out(df["doc_id"]))).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+    source = df.select(*tb.numbered(df, df.columns))
+    model = fit(df, pieces, ~_held_out(df["doc_id"]))
+    out = language_id(source, pieces, model, f"c{df.columns.index('text')}").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return out.drop("lang_pred", "score").toDF(*df.columns)
 
 
 @query("op8_language_id")

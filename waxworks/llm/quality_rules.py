@@ -94,15 +94,30 @@ def measure(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[str,
     return out | {"kept": good}
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, buf, starts, ends in tb.sliced(batch, "_text"):
-            got = measure(buf, starts, ends)
-            keep = [n for n in part.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(n) for n in keep] + [pa.array(got[n].astype(_ARROW[t].to_pandas_dtype())) for n, t in _FIELDS],
-                names=keep + [n for n, _ in _FIELDS],
-            )
+def _measured(text: str):
+    """Every row with its measures; the text is the column of that name and travels once."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, starts, ends in tb.sliced(batch, text):
+                got = measure(buf, starts, ends)
+                yield pa.RecordBatch.from_arrays(
+                    part.columns + [pa.array(got[n].astype(_ARROW[t].to_pandas_dtype())) for n, t in _FIELDS],
+                    names=part.schema.names + [n for n, _ in _FIELDS],
+                )
+
+    return measured
+
+
+def _kept(text: str):
+    """The rows that are kept, as they came."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, starts, ends in tb.sliced(batch, text):
+                yield part.filter(pa.array(measure(buf, starts, ends)["kept"]))
+
+    return kept
 
 
 def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
@@ -118,9 +133,10 @@ def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
     """
     names = {n for n, _ in _FIELDS}
     others = [c for c in df.columns if c not in names]
-    source = df.select(*tb.numbered(df, others), F.col(f"`{text}`").alias("_text"))
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "_text")
-    return source.mapInArrow(_measured, f"{kept}, {SCHEMA}" if kept else SCHEMA).toDF(*others, *[n for n, _ in _FIELDS])
+    source = df.select(*tb.numbered(df, others), *([] if text in others else [F.col(f"`{text}`").alias("_text")]))
+    at = f"c{others.index(text)}" if text in others else "_text"
+    measured = source.mapInArrow(_measured(at), f"{tb.ddl(source)}, {SCHEMA}").drop("_text")
+    return measured.toDF(*others, *[n for n, _ in _FIELDS])
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
@@ -129,9 +145,9 @@ def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     Each row is judged by its own text: nulls, empty texts and repeated rows as there; an empty table gives
     an empty one.
     """
-    source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], F.col(f"`{text}`").alias("text"))
-    good = quality_rules(source).filter("kept")
-    return good.select(*[good[f"c{i}"].alias(c) for i, c in enumerate(df.columns)])
+    source = df.select(*tb.numbered(df, df.columns))
+    good = source.mapInArrow(_kept(f"c{df.columns.index(text)}"), tb.ddl(source))
+    return good.toDF(*df.columns)
 
 
 @query("op10_quality_rules")

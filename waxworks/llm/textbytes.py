@@ -74,6 +74,11 @@ def numbered(df: DataFrame, names: list[str]) -> list[Column]:
     return [F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)]
 
 
+def ddl(df: DataFrame) -> str:
+    """The columns of ``df``, all named by ``numbered`` or a helper, as a schema for Arrow functions."""
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
 def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``limit`` bytes; a longer row stands alone."""
     first, total = 0, 0
