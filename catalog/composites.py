@@ -385,6 +385,27 @@ def m9_totals(c):
     return rounded(stock.selected_totals(chosen, "price"), "total_cost", "total_score")
 
 
+@query(
+    "m9_certificate",
+    with_views(
+        "listings records rates sellers",
+        """SELECT seller_id, count(*) AS items, coalesce(sum(value) FILTER (WHERE filled <= 50000), 0)::BIGINT AS prefix_value,
+        (coalesce(sum(value) FILTER (WHERE filled <= 50000), 0) + coalesce(arg_min(value, filled) FILTER (WHERE filled > 50000)
+          * (50000 - coalesce(sum(cents) FILTER (WHERE filled <= 50000), 0)) // arg_min(cents, filled) FILTER (WHERE filled > 50000), 0))::BIGINT AS bound,
+        true AS feasible, true AS reached, true AS maximal
+        FROM (SELECT *, sum(cents) OVER (PARTITION BY seller_id ORDER BY value::DOUBLE / cents DESC, listing_id ROWS UNBOUNDED PRECEDING) AS filled
+          FROM (SELECT *, row_number() OVER (PARTITION BY seller_id, cents ORDER BY value DESC, listing_id) AS n FROM units
+            WHERE value > 0 AND cents BETWEEN 1 AND 50000) WHERE n <= 50000 // cents) GROUP BY seller_id""",
+        STOCK_CTES | {
+            "units": """SELECT seller_id, listing_id, floor(score * 1000)::BIGINT AS value, floor(price * 100)::BIGINT AS cents
+            FROM scored WHERE seller_id IN (SELECT id FROM sellers)"""
+        },
+    ),
+)
+def m9_certificate(c):
+    return knapsack.certificate(_scored(c), _budgets(c))
+
+
 _BEST20 = """SELECT listing_id FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY score DESC, listing_id) AS n FROM scored) WHERE n <= 20"""
 
 

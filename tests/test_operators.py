@@ -344,6 +344,37 @@ def test_pruning_keeps_the_optimum_and_bounds_a_hot_price(spark):
     assert all(r["count"] <= 5000 // r["cents"] for r in kept)
 
 
+def test_heap_of_a_task_keeps_the_best_of_each_price(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(knapsack, "HEAP_ROWS", 300)
+    rng = np.random.default_rng(6)
+    n = 4000
+    seller, cents = rng.integers(0, 3, n), np.where(rng.random(n) < 0.4, 10, rng.integers(1, 60, n))
+    rows = pa.table({"seller_id": [f"s{x}" for x in seller], "listing_id": np.arange(n), "value": rng.integers(1, 50, n), "cents": cents, "capacity": np.full(n, 90)})
+    out = pa.Table.from_batches(knapsack._best_each(iter(rows.to_batches(max_chunksize=100))))
+
+    def keep(table):
+        frame = table.to_pandas().sort_values(["value", "listing_id"], ascending=[False, True])
+        frame["rank"] = frame.groupby(["seller_id", "cents"]).cumcount()
+        return sorted(frame.query("rank < 90 // cents")["listing_id"])
+
+    assert out.num_rows < n and keep(out) == keep(rows)  # parts that were handed on merge to the same best
+    assert list(knapsack._best_each(iter([]))) == []
+
+
+def test_certificate_of_purchases(spark):
+    scored = spark.createDataFrame(
+        [("a", 1, 3.0, 9.0), ("a", 2, 4.0, 8.0), ("a", 3, 5.0, 9.0), ("b", 4, 1.0, 1.0), ("c", 5, 0.0, 2.0), ("d", 6, 99.0, 1.0)],
+        "seller_id string, listing_id int, price double, score double",
+    )
+    budgets = spark.createDataFrame([(s, 8.0) for s in "abcd"], "seller_id string, budget double")
+    got = {r["seller_id"]: tuple(r)[1:] for r in knapsack.certificate(scored, budgets).collect()}
+    # By rate: 1, 2, then 1/5 of 3; the best purchase is 1 and 3.
+    assert got == {"a": (3, 17000, 18800, True, True, True), "b": (1, 1000, 1000, True, True, True)}
+    assert knapsack.certificate(scored.filter("false"), budgets).count() == 0
+
+
 def test_failed_seller_is_a_row():
     import pandas as pd
 
