@@ -286,6 +286,28 @@ def test_bounds_leave_most_blocks_out(spark, monkeypatch):
     assert met[1] / met[0] < 0.6 * (600 * blocks[1]) / (150 * blocks[0]) and met[1] < 0.4 * 600 * blocks[1]
 
 
+def test_tiles_leave_most_blocks_out(spark, monkeypatch):
+    """After a candidate's own block, few blocks are compared, and no vector is stored per block (the pairs never leave a task)."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(similarity, "ROWS_PER_BLOCK", 16)
+    monkeypatch.setattr(similarity, "ROWS_PER_CHUNK", 100)
+
+    def title():
+        artist = int(rng.integers(0, 60))
+        return " ".join([f"artist{artist}", *[f"w{artist}x{j}" for j in rng.integers(0, 9, 3)], *rng.choice(["live", "best", "songs"], 2)])
+
+    cands, keeps = [(i, title()) for i in range(600)], [(i, title()) for i in range(600)]
+    c, k = (spark.createDataFrame(x, "id long, title string") for x in (cands, keeps))
+    met, plain = [], similarity._compared
+    monkeypatch.setattr(similarity, "_compared", lambda *a: met.append(plain(*a)) or met[-1])
+    stored, kept = [], similarity.stable
+    monkeypatch.setattr(similarity, "stable", lambda df: stored.append(kept(df)) or stored[-1])
+    got = {r["id"]: r["score"] for r in similarity.similarity_scores(c, k).collect()}
+    assert got == pytest.approx(_brute_scores(cands, keeps, 10_000))
+    assert max(df.count() for df in stored) <= len(cands) + len(keeps)
+    assert 0 < met[0].agg(F.sum("pairs")).first()[0] < 0.4 * 600 * 600 / 16
+
+
 # ---------------------------------------------------------------- stock
 
 
