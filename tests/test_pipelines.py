@@ -70,6 +70,12 @@ def test_inventory_defaults_and_rejects(spark):
     assert bad.count() == 2
 
 
+def test_inventory_is_parsed_once(spark):
+    raw = spark.range(9).select(F.concat(F.lit('{"release": {"id": '), F.col("id").cast("string"), F.lit("}}")).alias("value"))
+    for side in landed.flatten_inventory(raw):
+        assert side._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_csv_set_and_training_csv(spark, tmp_path):
     rows = spark.createDataFrame([("1", 'say "hi", you'), ("2", 'say "hi", you'), ("3", "x")], "ebay_id string, title string")
     for part in ("a", "b"):

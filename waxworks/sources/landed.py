@@ -78,8 +78,12 @@ def auction_rows(items: DataFrame) -> DataFrame:
 
 
 def flatten_inventory(raw: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """A seller's stock from JSON, with defaults for what is missing, and the rows that are unusable."""
-    parsed = raw.withColumn("_l", F.from_json(column, INVENTORY))
+    """A seller's stock from JSON, with defaults for what is missing, and the rows that are unusable.
+
+    A text is parsed once: as an expression the result would be computed again for every field of the filter,
+    and so would the text. What is exploded is a column like any other.
+    """
+    parsed = raw.select(column, F.explode(F.array(F.from_json(column, INVENTORY))).alias("_l"))
     needed = ["release.id", "price.value", "price.currency", "seller.username"]
     usable = F.lit(True)
     for path in needed:
