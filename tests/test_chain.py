@@ -92,6 +92,22 @@ def test_two_models_and_small_passes(spark, tmp_path, monkeypatch):
     assert np.isclose(got["a/b", 1]["f1_score"], got["m", 1]["f1_score"])
 
 
+def test_many_buffers_in_few_entries(spark, tmp_path, monkeypatch):
+    """A round's buffers share entries and tell only what they change; every version is there, and a restart goes on after the last."""
+    monkeypatch.setattr(chain, "ENTRIES_AT_ONCE", 2)
+    path, commits, plain = str(tmp_path), [], CommitLog.commit
+    monkeypatch.setattr(CommitLog, "commit", lambda self, n, entry: commits.append(n) or plain(self, n, entry))
+    _feed(spark, range(25)).coalesce(1).write.mode("append").parquet(f"{path}/src")
+    got = _run(spark, path)
+    assert commits == [0, 3] and sorted(b for _, b in got) == [0, 1, 2, 3, 4]
+    _feed(spark, range(25, 30)).coalesce(1).write.mode("append").parquet(f"{path}/src")
+    got = _run(spark, path)
+    assert commits == [0, 3, 5] and sorted(b for _, b in got) == [0, 1, 2, 3, 4, 5]
+    for b in (1, 3, 5):
+        have, want = chain.model_of(spark, got["m", b].asDict(), _prior()), _plain(spark, b)
+        assert np.allclose(have.weights, want.weights, atol=1e-6) and np.allclose(have.precision, want.precision, atol=1e-6)
+
+
 def test_log_gives_a_number_once(spark, tmp_path):
     a, b = CommitLog(spark, f"{tmp_path}/log"), CommitLog(spark, f"{tmp_path}/log")
     assert a.state() == (-1, None) and a.commit(0, {"x": 1}) and not b.commit(0, {"x": 2}) and b.state() == (0, {"x": 1})

@@ -34,8 +34,8 @@ class CommitLog:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
         return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=-1)
 
-    def commit(self, n: int, entry: dict) -> bool:
-        """Puts the entry under ``n``; False if that number is taken."""
+    def commit(self, n: int, entry: dict | list[dict]) -> bool:
+        """Puts the entry, or a list of them, under ``n``; False if that number is taken."""
         draft, goal = self._path(f".{uuid.uuid4().hex}"), self._path(f"{n:020d}.json")
         out = self._fs.create(draft, False)
         out.write(bytearray((json.dumps(entry) + "\n").encode()))
@@ -51,14 +51,14 @@ class CommitLog:
             self._fs.delete(draft, False)
             return False
 
-    def read(self, n: int) -> dict:
+    def read(self, n: int) -> dict | list[dict]:
         source = self._fs.open(self._path(f"{n:020d}.json"))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
         finally:
             source.close()
 
-    def state(self) -> tuple[int, dict | None]:
+    def state(self) -> tuple[int, dict | list[dict] | None]:
         """Number and content of the last entry."""
         n = self.last()
         return n, self.read(n) if n >= 0 else None

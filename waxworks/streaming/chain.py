@@ -19,8 +19,8 @@ from waxworks.sources.commits import CommitLog
 from waxworks.streaming.feedback import buffered_groups
 
 WINDOW, STEPS = 500, 10
-#: Buffers that are applied in one go.
-AT_ONCE = 256
+#: Buffers that are applied in one go, and the entries of the log in which they are committed.
+AT_ONCE, ENTRIES_AT_ONCE = 4096, 64
 
 VERSIONS = "model string, buffer long, instances long, n_rows long, threshold double, f1_score double, weights string, weights_of long, window_from long"
 
@@ -42,15 +42,16 @@ def _states(spark: SparkSession, folder: str) -> dict[str, dict]:
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [unquote(s.getPath().getName()) for s in fs.listStatus(root)] if fs.exists(root) else []
     found = {name: _log(spark, folder, name).state()[1] for name in names}
-    return {name: state for name, state in found.items() if state}
+    return {name: state[-1] if isinstance(state, list) else state for name, state in found.items() if state}
 
 
 def model_of(spark: SparkSession, state: dict | None, prior: KeeperModel) -> KeeperModel:
-    """The model of a version of the log; the prior before the first."""
+    """The model of a version of the log; the prior before the first. Of each slot the last change up to the version counts."""
     if state is None or state["weights"] is None:
         return prior
-    own = (F.col("model") == state["model"]) & (F.col("buffer") == state["weights_of"])
-    return KeeperModel.from_rows(spark.read.parquet(state["weights"]).filter(own).select("slot", "weight", "precision"))
+    own = (F.col("model") == state["model"]) & (F.col("buffer") <= state["weights_of"])
+    last = spark.read.parquet(state["weights"]).filter(own).groupBy("slot").agg(F.max_by(F.struct("weight", "precision"), "buffer").alias("w"))
+    return KeeperModel.from_rows(last.select("slot", "w.weight", "w.precision"))
 
 
 def updated(model: KeeperModel, row: np.ndarray, slot: np.ndarray, value: np.ndarray, y: np.ndarray, steps: int = STEPS) -> KeeperModel:
@@ -74,17 +75,20 @@ def updated(model: KeeperModel, row: np.ndarray, slot: np.ndarray, value: np.nda
 
 
 def _chained(shared, steps: int):
+    """The slots that a buffer changes, of the first buffer all. A slot without an entry stays where the prior has it."""
+
     def chained(key, pdf: pd.DataFrame) -> pd.DataFrame:
         model, out = shared.value[key[0]], []
+        weights, precision = model.weights.copy(), model.precision.copy()
         for buffer, rows in pdf.sort_values(["buffer", "instance_id"]).groupby("buffer", sort=True):
-            sizes = rows["x"].map(len).to_numpy()
-            entries = [e for x in rows["x"] for e in x]
-            slot = np.array([e["slot"] for e in entries], np.int64)
-            value = np.array([e["value"] for e in entries], float)
-            model = updated(model, np.repeat(np.arange(len(rows)), sizes), slot, value, rows["y"].to_numpy(float), steps)
+            slot, value = np.concatenate(rows["slot"].to_list()).astype(np.int64), np.concatenate(rows["value"].to_list())
+            met, place = np.unique(slot, return_inverse=True)
+            row = np.repeat(np.arange(len(rows)), rows["slot"].map(len).to_numpy())
+            after = updated(KeeperModel(weights[met], precision[met]), row, place, value, rows["y"].to_numpy(float), steps)
+            weights[met], precision[met] = after.weights, after.precision
+            told = met if out and len(met) else np.arange(len(weights))
             out.append(pd.DataFrame({
-                "model": key[0], "buffer": buffer, "n_rows": len(rows), "slot": np.arange(len(model.weights), dtype=np.int32),
-                "weight": model.weights, "precision": model.precision,
+                "model": key[0], "buffer": buffer, "n_rows": len(rows), "slot": told.astype(np.int32), "weight": weights[told], "precision": precision[told],
             }))
         return pd.concat(out, ignore_index=True)
 
@@ -113,7 +117,8 @@ def apply_buffers(spark: SparkSession, folder: str, designed: DataFrame, prior:
     """Apply the buffers under ``folder`` that come next, in order of number; how many.
 
     Each is committed under (model, buffer) where nothing is, so one that is met again, after a restart or
-    in another writer, changes nothing. Weights that were written without a commit are never read.
+    in another writer, changes nothing. Many buffers are committed as runs, each under its first buffer: the next
+    run starts where the last one ends. Weights that were written without a commit are never read.
     """
     states = _states(spark, folder)
     emitted = spark.read.schema(_BUFFERS).parquet(f"{folder}/buffers")
@@ -130,26 +135,31 @@ def apply_buffers(spark: SparkSession, folder: str, designed: DataFrame, prior:
     best = optimal_threshold(seen, window, ["model", "upto"])
 
     rows = emitted.join(F.broadcast(own), ["model", "buffer"]).join(designed, "record_id")
-    rows = rows.select("model", "buffer", "instance_id", "x", F.col("actual").cast("double").alias("y"))
+    rows = rows.select("model", "buffer", "instance_id", F.col("x.slot").alias("slot"), F.col("x.value").cast("array<double>").alias("value"), F.col("actual").cast("double").alias("y"))
     models = {m: model_of(spark, states.get(m), prior) for m in {m for m, *_ in ready}}
     shared = spark.sparkContext.broadcast(models)  # two numbers for each slot of these models
     path = f"{folder}/weights/{uuid.uuid4().hex}"
     made = rows.groupBy("model").applyInPandas(_chained(shared, steps), "model string, buffer long, n_rows long, slot int, weight double, precision double")
     made.write.parquet(path)
-    used = {(r["model"], r["buffer"]): r["n_rows"] for r in spark.read.parquet(path).filter("slot = 0").select("model", "buffer", "n_rows").collect()}
+    used = {(r["model"], r["buffer"]): r["n_rows"] for r in spark.read.parquet(path).groupBy("model", "buffer").agg(F.max("n_rows").alias("n_rows")).collect()}
     found = {(r["model"], r["upto"]): r for r in best.collect()}
     where = {m: (s["weights"], s["weights_of"]) for m, s in states.items()}
+    entries: dict[str, list[dict]] = {}
     for model, buffer, instances, _, first in ready:
         if (model, buffer) in used:
             where[model] = (path, buffer)
         weights, of = where.get(model, (None, None))
         row = found[model, buffer]
-        entry = {
+        entries.setdefault(model, []).append({
             "model": model, "buffer": buffer, "instances": instances, "n_rows": used.get((model, buffer), 0), "threshold": row["threshold"],
             "f1_score": row["f1_score"], "weights": weights, "weights_of": of, "window_from": first,
-        }
-        if not _log(spark, folder, model).commit(buffer, entry):
-            break  # another writer was faster: its version counts, the rest is looked at anew
+        })
+    for model, own_entries in entries.items():
+        log, size = _log(spark, folder, model), -(-len(own_entries) // ENTRIES_AT_ONCE)
+        for i in range(0, len(own_entries), size):
+            part = own_entries[i : i + size]
+            if not log.commit(part[0]["buffer"], part if len(part) > 1 else part[0]):
+                break  # another writer was faster: its version counts, the rest is looked at anew
     return len(ready)
 
 
