@@ -484,6 +484,14 @@ def _people(spark, n, start=0):
     return spark.createDataFrame(data, "id long, genres array<string>, styles array<string>, label string, year int")
 
 
+def test_few_splits_are_dealt_to_all_cores(spark):
+    kind = "slot string, anchor struct<genres: array<string>, styles: array<string>, label: string, year: int>"
+    anchors = spark.createDataFrame([("a", (["g"], ["s"], "l", 1990))], kind)
+    others = spark.range(0, 50, 1, 1).select("id", F.array(F.lit("g")).alias("genres"), F.array(F.lit("s")).alias("styles"), F.lit("l").alias("label"), F.lit(1991).alias("year"))
+    scored = triplets.score_negatives(anchors, others)
+    assert scored.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and scored.filter("score = 8").count() == 50
+
+
 def test_similarity_points(spark):
     kind = "a struct<genres: array<string>, styles: array<string>, label: string, year: int>, b struct<genres: array<string>, styles: array<string>, label: string, year: int>"
     rows_ = [

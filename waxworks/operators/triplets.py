@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waxworks.functions.seeded import seeded_int, seeded_key
 from waxworks.functions.vectors import distance
-from waxworks.operators.joins import join_checked, replicated_if_small
+from waxworks.operators.joins import join_checked, replicated_if_small, spread
 from waxworks.operators.ordering import group_rank, row_index
 
 PROFILE = ("genres", "styles", "label", "year")
@@ -38,9 +38,10 @@ def score_negatives(anchors: DataFrame, negatives: DataFrame) -> DataFrame:
     ``anchors`` is (slot, anchor), a short list by construction: the slots of one mining run, a
     hundred in the reference. It is measured and then sent to the negatives, which are scored where
     they lie; what follows adds them up per score, so the scored rows are never shuffled. A list that
-    is longer than the limit still gives the same rows, as a partitioned product.
+    is longer than the limit still gives the same rows, as a partitioned product. Negatives of a small
+    table, which has few splits, are dealt to all cores first: the product is a hundred times as large.
     """
-    candidates = negatives.select("id", F.struct(*PROFILE).alias("_b"))
+    candidates = spread(negatives.select("id", F.struct(*PROFILE).alias("_b")), "id")
     short = replicated_if_small(anchors.select("slot", F.col("anchor").alias("_a")))
     return candidates.crossJoin(short).select(
         "slot", "id", similarity(F.col("_a"), F.col("_b")).alias("score")
