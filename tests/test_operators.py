@@ -492,6 +492,15 @@ def test_few_splits_are_dealt_to_all_cores(spark):
     assert scored.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and scored.filter("score = 8").count() == 50
 
 
+def test_picks_do_not_sort_the_scored_rows(spark, monkeypatch):
+    scored = spark.range(4000).select((F.col("id") % 4).cast("string").alias("slot"), "id", (F.col("id") % 7).cast("int").alias("score"))
+    plans, kept = [], triplets.stable
+    monkeypatch.setattr(triplets, "stable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    picked = {r["slot"]: r["negative"] for r in triplets.pick_hard(scored, 3).collect()}
+    assert plans and not any("SortAggregate" in p for p in plans)
+    assert set(picked) == {"0", "1", "2", "3"} and all(i % 4 == int(s) and i % 7 in (5, 6) for s, i in picked.items())
+
+
 def test_similarity_points(spark):
     kind = "a struct<genres: array<string>, styles: array<string>, label: string, year: int>, b struct<genres: array<string>, styles: array<string>, label: string, year: int>"
     rows_ = [

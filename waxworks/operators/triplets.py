@@ -11,6 +11,7 @@ from waxworks.functions.seeded import seeded_int, seeded_key
 from waxworks.functions.vectors import distance
 from waxworks.operators.joins import join_checked, replicated_if_small, spread
 from waxworks.operators.ordering import group_rank, row_index
+from waxworks.session import stable
 
 PROFILE = ("genres", "styles", "label", "year")
 MIN_HISTORY = 10
@@ -97,11 +98,16 @@ def pick_hard(scored: DataFrame, seed) -> DataFrame:
 
     Ties at the cut are broken at random, then one member of the pool is drawn. That equals drawing
     first whether the pick lies above the cut (above : pool), then a row of that side. Both need just
-    a count and one seeded minimum per score, so the negatives are read once and combined map-side.
+    a count and one seeded minimum per score. The least start of a key is a number, which is added up by hash; the
+    least of whole keys, a text, would sort all scored rows. So a second pass reads the rows of that start only.
     """
-    draw = F.min(F.struct(seeded_key(F.col("slot"), F.col("id"), seed=seed).alias("k"), F.col("id").alias("id")))
+    key = seeded_key(F.col("slot"), F.col("id"), seed=seed)
+    start = F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint")
     higher = Window.partitionBy("slot").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    levels = _levels(scored, draw.alias("pick")).withColumn("pick_above", F.min("pick").over(higher))
+    levels = stable(_levels(scored, F.min(start).alias("_start")))
+    few = join_checked(scored, levels.select("slot", "score", "_start"), ["slot", "score"]).filter(start == F.col("_start"))
+    picks = few.groupBy("slot", "score").agg(F.min(F.struct(key.alias("k"), F.col("id").alias("id"))).alias("pick"))
+    levels = levels.join(picks, ["slot", "score"]).withColumn("pick_above", F.min("pick").over(higher))
     edge = levels.filter((F.col("above") < F.col("pool")) & (F.col("above") + F.col("n") >= F.col("pool")))
     depth = seeded_int(F.col("slot"), "depth", seed=seed) % F.col("pool")
     chosen = F.when(depth < F.col("above"), F.col("pick_above")).otherwise(F.col("pick"))
