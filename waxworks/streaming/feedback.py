@@ -36,18 +36,31 @@ def buffered_groups(feed: DataFrame, size: int = BUFFER) -> DataFrame:
     state_schema = "done boolean, " + ", ".join(f"{n} array<{t}>" for n, t in (f.split() for f in fields.split(", ")))
 
     def collect(key, parts, state: GroupState):
+        # Lists and not frames: a buffer has about a hundred rows, and there are as many calls as buffers.
         done, *held = state.get if state.exists else (False, *[[] for _ in names])
-        new = [p[names] for p in parts]
-        old = [pd.DataFrame(dict(zip(names, held)))] if len(held[0]) else []
-        rows = pd.concat([*old, *new], ignore_index=True)
+        columns = [[None if v != v else v for v in old] for old in held]  # a null may come back as NaN
+        for p in parts:
+            for column, name in zip(columns, names):
+                values = p[name]
+                column += [None if v != v else v for v in values.tolist()] if values.hasnans else values.tolist()
         if not done:
-            rows = rows.drop_duplicates(["batch_number", "instance_id"])
-            batches = rows.groupby("batch_number")["batch_size"].agg(["max", "size"])
-            if len(batches) < size or (batches["size"] < batches["max"]).any():
-                state.update((False, *[rows[n].tolist() for n in names]))
+            places: dict = {}
+            for i, instance in enumerate(zip(columns[0], columns[2])):
+                places.setdefault(instance, i)
+            first = list(places.values())
+            if len(first) < len(columns[0]):
+                columns = [[column[i] for i in first] for column in columns]
+            there, announced = {}, {}
+            for batch, many in zip(columns[0], columns[1]):
+                if batch is not None:
+                    there[batch] = there.get(batch, 0) + 1
+                    announced[batch] = max(announced.get(batch, 0), many or 0)
+            if len(there) < size or any(n < announced[batch] for batch, n in there.items()):
+                state.update((False, *columns))
                 return
         state.update((True, *[[] for _ in names]))
-        rows = rows.assign(model=key[0], buffer=key[1], late=done)
+        rows = pd.DataFrame(dict(zip(names, columns)))
+        rows["model"], rows["buffer"], rows["late"] = key[0], key[1], done
         yield rows[["model", "buffer", *names, "late"]]
 
     keyed = feed.withColumn("buffer", F.floor(F.col("batch_number") / size).cast("bigint"))
