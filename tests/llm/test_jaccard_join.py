@@ -125,3 +125,24 @@ def test_components(spark):
         parent[hi] = lo
     want = {n: root(n) for e in edges for n in e if e[0] != e[1]}
     assert {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    from waxworks.llm import components as cc
+
+    rounds = []
+    monkeypatch.setattr(cc, "stable", lambda df, keep=cc.stable: rounds.append(1) or keep(df))
+    for edges, most in (([(1, i) for i in range(2, 40)] + [(50, 51)], 1), ([(i, i + 1) for i in range(8)], 4), ([(3, 3)], 1)):
+        rounds.clear()
+        got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: (50 if x >= 50 else min(min(edges))) for e in edges if e[0] != e[1] for x in e}
+        assert len(rounds) <= most
+
+
+def test_components_are_found_over_all_links_once(spark, monkeypatch):
+    """Later rounds see links between components only."""
+    calls = []
+    monkeypatch.setattr(jj, "components", lambda links, find=jj.components: calls.append(1) or find(links))
+    rows = documents(bases=8)
+    assert run(spark, rows) == brute(rows)
+    assert len(calls) == 1

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waxworks.llm import textbytes as tb
-from waxworks.llm.components import components
+from waxworks.llm.components import components, joined
 from waxworks.llm.registry import query
 from waxworks.operators.joins import join_checked
 from waxworks.session import stable
@@ -26,9 +26,11 @@ _FEW = 128  # up to so many documents of a key are paired at once, more are comp
 _TILE = 1024
 #: Shares of the open keys, by hash, after each of which components are joined anew: the first keys of a
 #: large group of near copies unite it, so that the others need no pairs.
-_ROUNDS = (0, 1, 8, 64)
+_ROUNDS = (0, 4, 64)
 _SKETCHED = 1024  # rows whose sketches are counted at once
-_FLUSH = 4_000_000  # keys that a task gathers before it sends them on
+_FLUSH = 1_000_000  # keys that a task gathers before it sends them on, and pairs before it drops repeated ones
+
+_PAIR = "a long, b long, ca long, cb long"  # two rows and their components
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -291,6 +293,10 @@ def _members(raw: bytes) -> np.ndarray:
     return shingles(buf, np.array([0]), np.array([len(buf)]))[0]
 
 
+def _pairs_of(batch: pa.RecordBatch, keep: pa.Array) -> pa.RecordBatch:
+    return batch.select(["a", "b", "ca", "cb"]).filter(keep)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose texts are similar."""
     expand = zstandard.ZstdDecompressor().decompress
@@ -303,8 +309,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other = _members(expand(y.as_buffer()))
             both = len(np.intersect1d(known, other, assume_unique=True))
             good.append(bool(both) and similar(len(known), len(other), both))
-        keep = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+        yield _pairs_of(batch, pa.array(good, pa.bool_()))
 
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,21 +321,22 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "id", "component", "n"))
     order = np.lexsort([ids, key])
     key, ids, comp, n = key[order], ids[order], comp[order], n[order]
-    found, total, apart = [np.empty((0, 2), np.int64)], 0, 1
+    found, total, apart = [np.empty((0, 4), np.int64)], 0, 1
     while True:
         same = np.flatnonzero(key[apart:] == key[:-apart])
         if not len(same):
             break
         other = same + apart
         fits = (comp[same] != comp[other]) & (75 * np.maximum(n[same], n[other]) <= 100 * np.minimum(n[same], n[other]))
-        found.append(np.stack([ids[same[fits]], ids[other[fits]]], axis=1))
+        x, y = same[fits], other[fits]
+        found.append(np.stack([ids[x], ids[y], comp[x], comp[y]], axis=1))
         total += len(found[-1])
         if total > _FLUSH:
             found = [np.unique(np.concatenate(found), axis=0)]
             total = len(found[0])
         apart += 1
     pairs = np.unique(np.concatenate(found), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs.T], names=["a", "b", "ca", "cb"])
 
 
 def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,8 +345,7 @@ def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
             near = np.bitwise_count(a ^ b).sum(axis=1) <= most_different(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-            keep = pa.array(near)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            yield _pairs_of(batch, pa.array(near))
 
 
 def _tile(group: pd.DataFrame) -> pd.DataFrame:
@@ -349,16 +354,17 @@ def _tile(group: pd.DataFrame) -> pd.DataFrame:
     bits = np.stack([np.frombuffer(bytes(s), np.uint64) for s in group["sketch"]])
     ids, n, comp, chunk = (group[c].to_numpy() for c in ("id", "n", "component", "chunk"))
     left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]  # places
     for x in left:
         y = right[(comp[right] != comp[x]) & ((i != j) | (ids[right] > ids[x]))]
         y = y[75 * np.maximum(n[y], n[x]) <= 100 * np.minimum(n[y], n[x])]
         apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1)
         y = y[apart <= most_different(n[y], n[x])]
-        a.append(np.full(len(y), ids[x]))
-        b.append(ids[y])
+        a.append(np.full(len(y), x))
+        b.append(y)
     a, b = np.concatenate(a), np.concatenate(b)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+    return pd.DataFrame({"a": ids[a], "b": ids[b], "ca": comp[a], "cb": comp[b]})
 
 
 # ---------------------------------------------------------------- join
@@ -368,20 +374,19 @@ def _bucket_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The similar ones of the pairs. Compressed texts travel; each pair is checked on its own, so no group gathers."""
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("head").alias(f"head_{c}"))
-    text = lambda c: texts.select(F.col("id").alias(f"head_{c}"), F.col("text").alias(f"text_{c}"))
-    named = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = named.join(text("b"), "head_b").join(text("a"), "head_a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verified, "a long, b long").distinct()
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The components of the similar ones of the pairs. Compressed texts travel; each pair is checked on its own, so
+    no group gathers."""
+    text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ca", "cb", "text_a", "text_b")
+    return both.mapInArrow(_verified, _PAIR).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
 def _by_sketch(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """The pairs whose sketches don't rule a link out."""
     side = lambda c: marks.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_allowed, "a long, b long")
+    both = pairs.select("a", "b", "ca", "cb").join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "ca", "cb", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_allowed, _PAIR)
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -392,7 +397,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     shares a key with others is paired with one of them only. Pairs that sizes and the Hamming distance of the
     sketches allow are verified on whole sets. Where members of a key are then still in different components,
     all pairs between those components that sizes and sketches allow are verified too, in tiles of bounded size
-    and in three rounds over the keys, each with the components that the one before it left. So no link
+    and in two rounds over the keys, each with the components that the one before it left. So no link
     between different sets is lost, and no group is expanded into all its pairs. Keys travel in packed
     arrays, one for each task and bucket.
 
@@ -421,33 +426,30 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     side = lambda c: classes.select(F.col("mark").alias(f"mark_{c}"), F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
     found = found.join(side("a"), "mark_a").join(side("b"), "mark_b")
     fits = 100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b")
-    pairs = stable(found.select("a", "b", fits.alias("fits")))
+    pairs = stable(found.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"), fits.alias("fits")))
     wanted = stable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     marks = join_checked(usable.select(F.col("row").alias("node"), "n", "keys", "sketch"), wanted, ["node"]).withColumnRenamed("node", "id")
     marks = stable(marks)
-    heads = classes.join(wanted, "node").select(F.col("head").alias("id")).distinct()
-    texts = stable(join_checked(rows.filter("id is not null").mapInArrow(_compressed, "id long, text binary"), heads, ["id"]))
+    heads = classes.join(wanted, "node").select("node", F.col("head").alias("id"))
+    texts = join_checked(rows.filter("id is not null").mapInArrow(_compressed, "id long, text binary"), heads, ["id"])
+    texts = stable(texts.select("node", "text"))
 
     # Rows with equal keys are one node.
     owned = usable.select("id", *same).join(classes.select(*same, "node"), same).select("id", "node")
     one_node = owned.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
     one_node = owned.join(one_node.select("id", "a"), "id").select("a", F.col("node").alias("b"))
-    links = stable(_verify(_by_sketch(pairs.filter("fits"), marks), classes, texts).union(one_node))
-    reached = stable(components(links))
+    reached = components(_verify(_by_sketch(pairs.filter("fits"), marks), texts).union(one_node))
+    known = wanted.withColumnRenamed("node", "id").join(reached, "id", "full")
+    comps = stable(known.select("id", F.coalesce("component", "id").alias("component")))
 
     # Keys whose members are in different components even so.
-    current = lambda: stable(wanted.join(reached, wanted["node"] == reached["id"], "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("component")))
-    comps = current()
-    joined = pairs.select("a", "b").join(comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(comps.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-    if joined.filter("ca <> cb").limit(1).count():
-        members = _open_keys(marks, comps, buckets)
-        part = F.pmod(F.xxhash64("key"), F.lit(_ROUNDS[-1]))
-        for low, high in zip(_ROUNDS, _ROUNDS[1:]):
-            more = _across(members.filter((part >= low) & (part < high)), marks, comps)
-            links = stable(links.union(_verify(more, classes, texts)))
-            reached = stable(components(links))
-            comps = current()
-    named = classes.join(reached, classes["node"] == reached["id"], "left").select(*same, "head", F.coalesce("component", "node").alias("component"))
+    members = _open_keys(marks, comps, buckets)
+    part = F.pmod(F.xxhash64("key"), F.lit(_ROUNDS[-1]))
+    for low, high in zip(_ROUNDS, _ROUNDS[1:]):
+        more = _across(members.filter((part >= low) & (part < high)), marks, comps)
+        if more is not None:
+            comps = joined(comps, _verify(more, texts))
+    named = classes.join(comps, classes["node"] == comps["id"], "left").select(*same, "head", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("head").alias("least"))
     of_class = named.join(least, "component").select(*same, "least")
     out = scanned.select("id", *same).join(of_class, same, "left")
@@ -458,7 +460,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def _keyed(column: str, buckets: int = 0):
-    """Key and ``column`` of every row of packed keys; with ``buckets`` packed by bucket."""
+    """Key, ``column`` and size of every row of packed keys; with ``buckets`` key and ``column``, packed by bucket."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
@@ -469,7 +471,8 @@ def _keyed(column: str, buckets: int = 0):
                 pairs = np.unique(np.rec.fromarrays([keys, marks]))
                 yield from _dealt(np.ascontiguousarray(pairs.f0), np.ascontiguousarray(pairs.f1), none, none, buckets)
             elif not buckets:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(marks)], names=["key", column])
+                sizes = np.repeat(batch.column("n").to_numpy(), count)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), marks, sizes)], names=["key", column, "n"])
 
     return keyed
 
@@ -487,22 +490,26 @@ def _open_keys(marks: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
     """Key, id and size of the members of keys with several components."""
     mixed = marks.select("id", "keys").join(comps, "id").mapInArrow(_keyed("component", buckets), _SENT)
     mixed = mixed.repartitionById(buckets, "bucket").mapInArrow(_crossed, "key long")
-    members = join_checked(marks.select("id", "keys").mapInArrow(_keyed("id"), "key long, id long"), mixed, ["key"])
-    return stable(members.join(marks.select("id", "n"), "id"))
+    return stable(join_checked(marks.select("id", "n", "keys").mapInArrow(_keyed("id"), "key long, id long, n long"), mixed, ["key"]))
 
 
-def _across(members: DataFrame, marks: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs across components that share a key and that sizes and sketches allow."""
+def _across(members: DataFrame, marks: DataFrame, comps: DataFrame) -> DataFrame | None:
+    """Pairs across components that share a key and that sizes and sketches allow. None: no key has several."""
     rows = members.join(comps, "id")
     counts = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
     rows = stable(rows.join(counts.filter("lo < hi"), "key").select("key", "id", "n", "component", "members"))
-    pairs = rows.filter(F.col("members") <= _FEW).select("key", "id", "component", "n").repartition("key").mapInArrow(_few, "a long, b long").distinct()
+    most = rows.agg(F.max("members")).first()[0]
+    if most is None:
+        return None
+    pairs = rows.filter(F.col("members") <= _FEW).select("key", "id", "component", "n").repartition("key").mapInArrow(_few, _PAIR).distinct()
     pairs = _by_sketch(pairs, marks)
+    if most <= _FEW:
+        return pairs
     many = rows.filter(F.col("members") > _FEW).withColumn("chunks", F.ceil(F.col("members") / _TILE).cast("int"))
     many = many.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     many = many.select("key", "id", "n", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    tiles = many.join(marks.select("id", "sketch"), "id").groupBy("key", "i", "j").applyInPandas(_tile, "a long, b long")
+    tiles = many.join(marks.select("id", "sketch"), "id").groupBy("key", "i", "j").applyInPandas(_tile, _PAIR)
     return stable(pairs.union(tiles).distinct())
 
 
