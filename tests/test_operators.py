@@ -308,6 +308,78 @@ def test_tiles_leave_most_blocks_out(spark, monkeypatch):
     assert 0 < met[0].agg(F.sum("pairs")).first()[0] < 0.4 * 600 * 600 / 16
 
 
+def test_few_tiles_meet_for_a_shortlist(spark, monkeypatch):
+    """Where a shortlist's last score is high, candidates meet keepers of about their own length, not all; the list stays."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(similarity, "ROWS_PER_BLOCK", 16)
+    monkeypatch.setattr(similarity, "ROWS_PER_CHUNK", 16)
+    words = [f"w{i}" for i in range(300)]
+    keeps = [(i, " ".join(rng.choice(words, rng.integers(4, 120)))) for i in range(320)]
+    cands = [(i, keeps[i * 7][1] if i < 40 else " ".join(rng.choice(words, rng.integers(4, 120)))) for i in range(320)]
+    cands[40] = (40, keeps[0][1] + " w1 w2 w3 w4 w5 w6")  # near, not equal
+    c, k = (spark.createDataFrame(x, "id long, title string") for x in (cands, keeps))
+    met, plain = [], similarity._compared
+    monkeypatch.setattr(similarity, "_compared", lambda p, a, b: met.append(p.count()) or plain(p, a, b))
+    got = similarity.similarity_filter(c, k, n=30, digits=6).collect()
+    brute = sorted(((-round(s, 6), i) for i, s in _brute_scores(cands, keeps, 10_000).items()))[:30]
+    assert sorted((-r["score"], r["id"]) for r in got) == brute
+    assert met[0] < 0.25 * (320 / 16) ** 2
+
+
+def test_most_vectors_meet_in_few_terms(spark, monkeypatch):
+    """Long texts: bounds by blocks leave nothing out, yet few pairs have all their terms compared, and no score changes."""
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(similarity, "ROWS_PER_BLOCK", 16)
+    words = [f"w{i}" for i in range(400)]
+    often = 1 / np.arange(1, 401) ** 0.7
+    texts = [" ".join(rng.choice(words, rng.integers(20, 90), p=often / often.sum())) for _ in range(640)]
+    cands, keeps = ([(i, t) for i, t in enumerate(half)] for half in (texts[:320], texts[320:]))
+    c, k = (spark.createDataFrame(x, "id long, title string") for x in (cands, keeps))
+    met, plain = [], similarity._compared
+    monkeypatch.setattr(similarity, "_compared", lambda *a: met.append(plain(*a)) or met[-1])
+    got = {r["id"]: r["score"] for r in similarity.similarity_scores(c, k).collect()}
+    assert got == pytest.approx(_brute_scores(cands, keeps, 10_000))
+    assert 0 < met[0].agg(F.sum("pairs")).first()[0] < 0.3 * 320 * 320 / 16
+
+
+def test_routes_of_a_tile_agree(monkeypatch):
+    """Few terms first, or all terms in a dense product: the best cosines are those of all pairs."""
+    rng = np.random.default_rng(10)
+    square = np.sort(rng.uniform(1, 7, 200))[::-1] ** 2
+    often = np.linspace(0.02, 0.5, 200)
+    sides = [[np.flatnonzero(rng.random(200) < often * rng.uniform(0.3, 1.5)) for _ in range(150)] for _ in range(2)]
+    mine, theirs = ([v for v in side if len(v)] for side in sides)
+    theirs[3] = mine[5]
+    theirs.sort(key=lambda v: square[v].sum())
+    level = similarity._levels(200)
+    all_of = np.array([[square[np.intersect1d(a, b)].sum() / math.sqrt(square[a].sum() * square[b].sum()) for b in theirs] for a in mine]).max(axis=1)
+    tile = lambda kind, side: kind(np.array([len(v) for v in side]), np.concatenate(side), square, level)
+    for meeting, dense, many in ((7.0, 0.045, 0.004), (1e9, 1e-9, 1.0), (1e-9, 1e9, 1.0), (1e-9, 1e9, 0.0)):
+        for name, value in (("_MEETING", meeting), ("_DENSE", dense), ("_MANY", many)):
+            monkeypatch.setattr(similarity, name, value)
+        for start, least in ((0.0, 0.0), (0.9, 0.0), (0.0, 0.5)):
+            best = all_of * start
+            similarity._improve(tile(similarity._Vectors, mine), tile(similarity._Keepers, theirs), best, least)
+            sure = all_of >= least
+            assert best[sure] == pytest.approx(all_of[sure], abs=1e-12) and (best <= all_of + 1e-12).all()
+
+
+def test_titles_cut_on_arrow_arrays(spark):
+    import pyarrow as pa
+
+    from waxworks.functions.text import cut_titles, title_words
+
+    titles = ["The LP of a-b Abba ABBA", None, "", "12 inch", "\u0130stanbul 3\u212aelvin", "caf\u00e9 \u00c9t\u00e9 na\u00efve", "x yy  zz_9 yy", "a", "\ud55c\uae00 mix99\n", "end"]
+    frame = spark.createDataFrame(list(enumerate(titles)), "id int, title string").select("id", title_words(F.col("title")).alias("w"))
+    want = {r["id"]: sorted(r["w"]) for r in frame.collect() if r["w"]}
+    for array in (pa.array(titles), pa.array(["skipped", *titles]).slice(1), pa.array(titles, pa.large_string())):
+        got = {}
+        for at, row, words in cut_titles(array):
+            for r, w in zip(row, words.to_pylist()):
+                got.setdefault(at + int(r), set()).add(w)
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
 # ---------------------------------------------------------------- stock
 
 
